@@ -19,6 +19,7 @@ def build_session(cores: int = 8, app: str = "seamquarry", **extra: str) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", extra.pop("driver_memory", "8g"))
     )
     for k, v in extra.items():
