@@ -45,6 +45,6 @@ WITH RECURSIVE n AS (SELECT run_id, span_id, min(CASE WHEN parent_span_id <> ''
 top AS (SELECT n.run_id, n.span_id FROM n LEFT JOIN n p ON p.run_id = n.run_id AND p.span_id = n.parent WHERE p.span_id IS NULL),
 t AS (SELECT run_id, span_id, [span_id] AS ids FROM top
   UNION ALL SELECT n.run_id, n.span_id, list_append(t.ids, n.span_id) FROM t JOIN n ON n.run_id = t.run_id AND n.parent = t.span_id),
-x AS (SELECT run_id, span_id AS descendant, len(ids) AS own, unnest(ids) AS span_id, unnest(range(1, len(ids) + 1)) AS at FROM t)
-SELECT run_id, span_id, descendant, own - at AS hops FROM x WHERE at < own""",
+x AS (SELECT run_id, span_id AS descendant, len(ids) AS own, unnest(ids) AS span_id, unnest(range(1, len(ids) + 1)) AS place FROM t)
+SELECT run_id, span_id, descendant, own - place AS hops FROM x WHERE place < own""",
 }
