@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
+#: Steps of a walk in one job.
+LEVELS = 4
 NODE = "struct<unique_name:string,file_path:string,name:string,line_number:int,calls:array<string>,is_source:boolean,is_sink:boolean>"
 
 
@@ -61,23 +63,34 @@ def external_sinks(calls: DataFrame, table: dict[str, str]) -> DataFrame:
 def shortest_routes(spark: SparkSession, e: DataFrame, starts: DataFrame, goals: DataFrame, most_nodes: int = 25) -> DataFrame:
     """repo, start, goal, path, hops: a shortest route from each start to each goal that it reaches, a node at most once.
 
-    Level by level; of several parents at the same distance the least route is taken. The frontier is an aggregate of the
-    join with the edges, anti-joined with what is reached, written to the shared folder each round. The walk goes on until
-    nothing new is reached; routes of more than `most_nodes` nodes are left out of the result, not of the walk.
-    A start that is a goal has a route of one node.
+    Breadth first, LEVELS steps in one job: each step is a join with the edges and an aggregate to the least route for each
+    node; what was reached before is anti-joined at the end of the job and the new frontier written to the shared folder. Of
+    several routes of equal length the least is taken. Nodes more than `most_nodes` away cannot be on a route that counts, so the
+    walk ends there. A start that is a goal has a route of one node.
     """
     tmp = Scratch(spark)
+    near = e.select("repo", F.col("src").alias("node"), "dst")
+    least = F.min(F.struct(F.size("path").alias("n"), "path")).alias("b")
     front = tmp.write(starts.select("repo", F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("path")).distinct())
-    reached, n = front, front.count()
-    while n:
-        step = front.join(e.select("repo", F.col("src").alias("node"), "dst"), ["repo", "node"]).select("repo", "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        best = step.groupBy("repo", "start", "node").agg(F.min("path").alias("path"))
-        front = tmp.write(best.join(reached.select("repo", "start", "node"), ["repo", "start", "node"], "left_anti"))
-        n = front.count()
-        if n:
-            reached = reached.unionByName(front)
+    edge_table = tmp.write(near)
+    reached, done, size = front, 1, front.count()
+    while size and done < most_nodes:
+        steps, step = [], front
+        for _ in range(min(LEVELS, most_nodes - done)):
+            step = step.join(edge_table, ["repo", "node"]).where(~F.array_contains("path", F.col("dst"))).select("repo", "start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            step = step.groupBy("repo", "start", "node").agg(least).select("repo", "start", "node", "b.path")
+            steps.append(step)
+            done += 1
+        found = steps[0]
+        for more in steps[1:]:
+            found = found.unionByName(more)
+        best = found.groupBy("repo", "start", "node").agg(least).select("repo", "start", "node", "b.path")
+        new = tmp.write(best.join(reached.select("repo", "start", "node"), ["repo", "start", "node"], "left_anti"))
+        reached = reached.unionByName(new)
+        front = new.where(F.size("path") == done)
+        size = front.count()
     out = reached.join(goals.select("repo", F.col("id").alias("node")).distinct(), ["repo", "node"], "left_semi")
-    return out.where(F.size("path") <= most_nodes).select("repo", "start", F.col("node").alias("goal"), "path", (F.size("path") - 1).alias("hops"))
+    return out.select("repo", "start", F.col("node").alias("goal"), "path", (F.size("path") - 1).alias("hops"))
 
 
 def components(spark: SparkSession, vertices: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, hierarchy, reports, retrieval, source_text
+from ..operators import c_facts, graph, hierarchy, reports, retrieval, source_text
 from ..session import table
+from ..streaming import trace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -480,3 +481,72 @@ def find_name(spark, d):
     """The first twenty files under a folder, by name whatever its case: the limit is the feature."""
     r = requests(spark, d).where("snippet is not null").where(F.col("file_path").startswith("src/"))
     return r.orderBy(F.lower("file_path"), "request_id").limit(20).select("request_id", F.regexp_extract("file_path", r"[^/\\]+$", 0).alias("name"))
+
+
+# Facts from C and C++
+
+
+def _c_files(spark: SparkSession, d: str) -> DataFrame:
+    return requests(spark, d).where(F.lower("file_path").rlike(r"\.(c|h|cc|cpp|cxx|hpp)$"))
+
+
+@query()
+def c_facts_table(spark, d):
+    return c_facts.extract(_c_files(spark, d))
+
+
+@query()
+def c_links(spark, d):
+    f = _c_files(spark, d)
+    return c_facts.link(c_facts.extract(f), f)
+
+
+@query()
+def c_sinks(spark, d):
+    return c_facts.sinks(c_facts.extract(_c_files(spark, d)), T.SINK_CALLS)
+
+
+# Traces
+
+_LOG = "(SELECT DISTINCT ON (record_id) * FROM runlog WHERE run_id IS NOT NULL AND record_id IS NOT NULL ORDER BY record_id)"
+
+
+@query(
+    f"""WITH r AS MATERIALIZED (SELECT * FROM {_LOG}),
+    s0 AS (SELECT run_id, span_id, count_if(record = 'span.start') AS starts, count_if(record = 'span.end') AS ends, max(CASE WHEN record = 'span.start' THEN seq END) AS s_seq, max(CASE WHEN record = 'span.end' THEN seq END) AS e_seq,
+      max(CASE WHEN parent_span_id <> '' THEN parent_span_id END) AS parent, count_if(record = 'span.start' AND kind = 'run') AS run_starts,
+      greatest(count(DISTINCT coalesce(kind, '')), count(DISTINCT coalesce(name, '')), count(DISTINCT coalesce(parent_span_id, ''))) AS d,
+      count_if(record = 'span.end' AND coalesce(status, '') NOT IN ('ok', 'error', 'cancelled', 'inconclusive')) AS bs, count_if(record = 'span.end' AND NOT coalesce(duration_ms >= 0, false)) AS bd
+      FROM r WHERE record IN ('span.start', 'span.end') AND span_id IS NOT NULL GROUP BY run_id, span_id),
+    s AS (SELECT a.*, b.span_id AS known, b.e_seq AS p_end FROM s0 a LEFT JOIN s0 b ON b.run_id = a.run_id AND b.span_id = a.parent),
+    v AS (SELECT run_id, 'no_start' AS rule FROM s WHERE starts = 0 UNION ALL SELECT run_id, 'no_end' FROM s WHERE ends = 0 UNION ALL SELECT run_id, 'many_starts' FROM s WHERE starts > 1 UNION ALL SELECT run_id, 'many_ends' FROM s WHERE ends > 1
+      UNION ALL SELECT run_id, 'unknown_parent' FROM s WHERE parent IS NOT NULL AND known IS NULL UNION ALL SELECT run_id, 'ends_after_parent' FROM s WHERE e_seq > p_end
+      UNION ALL SELECT run_id, 'unstable' FROM s WHERE starts > 0 AND ends > 0 AND d > 1 UNION ALL SELECT run_id, 'bad_status' FROM s WHERE bs > 0 UNION ALL SELECT run_id, 'bad_duration' FROM s WHERE bd > 0
+      UNION ALL SELECT run_id, 'roots' FROM s GROUP BY run_id HAVING sum(run_starts) <> 1
+      UNION ALL SELECT run_id, 'seq_gap' FROM (SELECT run_id, seq, min(seq) OVER (PARTITION BY run_id) AS f FROM r) x WHERE seq > f AND NOT EXISTS (SELECT 1 FROM r y WHERE y.run_id = x.run_id AND y.seq = x.seq - 1)
+      UNION ALL SELECT e.run_id, 'event_outside' FROM (SELECT * FROM r WHERE record = 'event') e LEFT JOIN s ON s.run_id = e.run_id AND s.span_id = e.span_id WHERE coalesce(starts, 0) = 0 OR e.seq < s_seq OR e.seq > e_seq)
+    SELECT run_id, rule, count(*) AS n FROM v GROUP BY run_id, rule"""
+)
+def trace_violations(spark, d):
+    return trace.violations(table(spark, d, "runlog"))
+
+
+@query(f"SELECT run_id, count(*) AS records, count(DISTINCT CASE WHEN record = 'span.start' THEN span_id END) AS spans, count_if(record = 'event') AS events, count_if(record = 'span.end' AND status = 'error') AS failed FROM {_LOG} GROUP BY run_id")
+def trace_summary(spark, d):
+    return trace.summary(table(spark, d, "runlog"))
+
+
+@query(
+    "WITH s AS (SELECT run_id, span_id, any_value(kind) AS kind, any_value(name) AS name FROM runlog WHERE record = 'span.start' GROUP BY ALL), e AS (SELECT run_id, span_id, any_value(status) AS status, any_value(duration_ms) AS duration_ms FROM runlog WHERE record = 'span.end' GROUP BY run_id, span_id) "
+    "SELECT run_id, span_id, kind, name, status, duration_ms FROM s JOIN e USING (run_id, span_id)"
+)
+def stream_spans(spark, d):
+    """Extension: spans paired by a stateful stream."""
+    return trace.drain(spark, trace.paired_spans(trace.read_stream(spark, f"{d}/runlog.parquet")))
+
+
+@query()
+def stream_window_counts(spark, d):
+    """Extension: tumbling windows of events under a watermark; windows still open at the end are not out yet, as append mode means."""
+    s = trace.read_stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return trace.drain(spark, trace.window_counts(s, "ts", "event_type", "1 hour", "1 hour"))
