@@ -220,29 +220,27 @@ def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[
     if not 0.5 <= t < 1:
         raise ValueError("t must be in [0.5, 1)")
     tmp = Scratch(spark)
-    once = records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.array_sort(words(*columns)).alias("ws"))
-    once = once.groupBy("id").agg(F.first("ws").alias("ws"))
-    hashed = once.select("id", "ws", F.xxhash64(F.array_join("ws", " ")).alias("h1"), F.hash(F.array_join("ws", " ")).alias("h2"))
-    members = tmp.write(hashed.select("id", "ws", F.min("id").over(_same()).alias("class_id")))
-    sets = members.where("id = class_id and size(ws) > 0").select(F.col("id").alias("cid"), "ws")
-    numbers = tmp.write(sets.select("cid", F.transform("ws", lambda x: F.xxhash64(x)).alias("ws")))
-    n = numbers.count()
+    text = F.array_join(F.array_sort(words(*columns)), " ")
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    sets = tmp.write(rows.groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.first("text").alias("text")))
+    n_words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).alias("n_words")
+    members = rows.select("id", "h1", "h2").distinct().join(sets.select("h1", "h2", F.col("cid").alias("class_id"), n_words), ["h1", "h2"])
+    sets = sets.where("text <> ''").select("cid", "text")
+    number = lambda d: d.select("cid", F.transform(F.split("text", " "), lambda x: F.xxhash64(x)).alias("ws"))
+    numbers = number(sets)  # made again where it is read: hashes don't compress, words do
+    n = sets.count()
     bins = word_bins(numbers)
     n_buckets = max(16, math.ceil(n / RECORDS_A_BUCKET))
     packed = numbers.mapInPandas(_keys(bins, n, t, n_buckets), "bucket int, keys binary, owners binary, cids binary, sketches binary, sizes binary")
-    candidates = packed.groupBy("bucket").applyInPandas(_meet(t), "a bigint, b bigint").distinct()
-    left, right = numbers.select(F.col("cid").alias("a"), F.col("ws").alias("wa")), numbers.select(F.col("cid").alias("b"), F.col("ws").alias("wb"))
+    candidates = tmp.write(packed.groupBy("bucket").applyInPandas(_meet(t), "a bigint, b bigint").distinct())
+    met = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    needed = tmp.write(number(sets.join(met, "cid", "left_semi")))
+    left, right = needed.select(F.col("cid").alias("a"), F.col("ws").alias("wa")), needed.select(F.col("cid").alias("b"), F.col("ws").alias("wb"))
     both = candidates.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     exact = both.select("a", "b", shared.alias("shared"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b"))
     exact = exact.where(F.col("shared") >= F.lit(t) * (F.col("size_a") + F.col("size_b") - F.col("shared")) - F.lit(1e-9))
-    return members.select("class_id", "id", F.size("ws").alias("n_words")), exact.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "size_a", "size_b")
-
-
-def _same():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("h1", "h2")
+    return members.select("class_id", "id", "n_words"), exact.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "size_a", "size_b")
 
 
 def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
