@@ -7,7 +7,7 @@ reject is wrong under any reading.
 from __future__ import annotations
 
 C_COMMON = """
-decl = spec { ditem } [ ':' cond ] [ '=' init ] { ',' { ditem } [ ':' cond ] [ '=' init ] } ';' ;
+decl = spec { ditem } [ ':' cond ] [ dinit ] { ',' { ditem } [ ':' cond ] [ dinit ] } ';' ;
 ditem = spec | ptr | attr | '(' [ params ] ')' | '[' [ expr ] ']' ;
 attr = ATTR [ '(' bal ')' ] ;
 bal = { ANYTOK | '(' bal ')' | '[' bal ']' | '{' bal '}' } ;
@@ -43,7 +43,8 @@ ext = ';' | decl | func | tagdef | 'asm' '(' asmbody ')' ';' ;
 func = spec { ditem } '(' [ params ] ')' { T | attr | ID } { spec { ditem } { ',' { ditem } } ';' } block [ ';' ] ;
 tagdef = NEVER ;
 more = NEVER ;
-spec = T | ID | tag ;
+spec = T | ID | tag | attr ;
+dinit = '=' init ;
 ptr = '*' ;
 tag = ( 'struct' | 'union' ) { attr } [ ID ] { attr } [ '{' { member } '}' ] | 'enum' { attr } [ ID ] [ ':' T { T } ] [ enumbody ] ;
 member = decl | ';' ;
@@ -75,7 +76,8 @@ meminit = qid ( '(' [ args ] ')' | '{' [ inits ] '}' ) [ '...' ] ;
 tagdef = NEVER ;
 more = 'try' block catch { catch } | using | template decl | 'namespace' ID '=' qid ';' ;
 catch = 'catch' '(' ( '...' | spec { ditem } ) ')' block ;
-spec = T | qid | tag | 'decltype' '(' expr ')' | 'typename' qid | '~' ID | 'extern' ;
+dinit = '=' init | '{' [ inits ] '}' ;
+spec = T | qid | tag | attr | '[' '[' bal ']' ']' | 'decltype' '(' expr ')' | 'typename' qid | '~' ID | 'extern' ;
 qid = [ '::' ] qpart { '::' [ 'template' ] ( qpart | '~' ID ) | '::' '*' } ;
 qpart = ID [ '<' [ targ { ',' targ } ] '>' ] | 'operator' oper ;
 oper = BIN | '*' | '&' | '&&' | '-' | '+' | '<' | '>' | '=' | '!' | '~' | '++' | '--' | '->' | ',' | '(' ')' | '[' ']' | 'new' [ '[' ']' ] | 'delete' [ '[' ']' ] | STR ID | T { T | ptr } | ID { ptr } | '>' '>' ;
@@ -94,7 +96,8 @@ atom = qid | NUM | CHR | str | paren [ castarg ] | lambda | T { T } ( '(' [ args
 lambda = '[' [ capture { ',' capture } ] ']' [ '<' [ tparam { ',' tparam } ] '>' ] [ '(' [ params ] ')' ] { T | attr } [ '->' typename ] block ;
 capture = [ '&' | '=' | '*' | '...' ] [ ID [ '...' ] [ '=' init | '{' [ inits ] '}' ] ] ;
 str = STR { STR | ID } ;
-paren = '(' ( expr | typename | '...' BIN expr | expr BIN '...' [ BIN expr ] | block ) ')' ;
+paren = '(' ( expr | typename | '...' fold expr | expr fold '...' [ fold expr ] | block ) ')' ;
+fold = BIN | ',' | '+' | '-' | '*' | '&' | '&&' | '<' | '>' | '=' ;
 castarg = { '!' | '~' | 'sizeof' } ( qid | NUM | CHR | str ) | '{' [ inits ] '}' | ( '++' | '--' ) ID ;
 post = '(' [ args ] ')' | '[' [ expr ] ']' | ( '.' | '->' ) [ 'template' ] ( qid | '~' ID | '*' atom ) | '++' | '--' | '{' [ inits ] '}' | '...' ;
 """

@@ -70,7 +70,7 @@ def test_mix(spark):
 
 def files(seed=0):
     rng = random.Random(seed)
-    name = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(99))
+    name = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 5)))
     hand = lambda: "".join(f"static int {name()}(struct {name()} *ctx)\n{{\n    if ({name()} > {name()})\n        return {name()}(ctx, {rng.randrange(999)});\n    return 0;\n}}\n\n" for _ in range(rng.randint(2, 6)))
     gen = lambda: "".join(f"int msg_{n}_get_f{i}(const struct msg_{n} *m) {{ return m->f{i}; }}\n" for n in [name()] for i in range(rng.randint(5, 20)))
     mini = lambda: "!function(a,b){" + "".join(f"{rng.choice('abcxyz')}.{name()}=function({rng.choice('abc')}){{return {rng.choice('xyz')}(1)}};" for _ in range(60)) + "}(1,2);"
