@@ -30,7 +30,7 @@ BANNER = re.compile(r"@generated|auto-?\s?generated|code generated|generated (?:
 FOREIGN = set("vendor vendors vendored third_party thirdparty third-party 3rdparty 3rd_party 3rd-party node_modules bower_components jspm_packages godeps _vendor extern external externals deps contrib".split())
 _PAYLOAD = re.compile(r"""0x[0-9a-fA-F]+|\b\d[\d.]*\b|b?"[^"\s]{24,}"|'[^'\s]{24,}'|`[^`\s]{24,}`|[A-Za-z0-9+/=]{40,}|(?:\\x[0-9a-fA-F]{2})+""")
 _BLANK = re.compile(r"[\s,]+")
-_PLAIN = bytes(48 if 48 <= i <= 57 else i for i in range(256))
+_PLAIN = np.array([48 if 48 <= i <= 57 else i for i in range(256)], np.uint32)  # all digits alike
 
 
 def _parts(path: str | None) -> tuple[list[str], list[str]]:
@@ -55,8 +55,8 @@ _TOP = re.compile(r"""\A\ufeff?\s*(?:/\*(?s:.*?)\*/\s*|(?://|\#(?![a-z]))[^\n]*\
 
 
 def _bytes(text: str) -> np.ndarray:
-    """The text without its top comments and without banners anywhere, digits alike."""
-    return np.frombuffer(BANNER.sub(" ", _TOP.sub("", text)).encode("utf-8", "replace").translate(_PLAIN), np.uint8).astype(np.uint32)
+    """The text without its top comments and without banners anywhere."""
+    return np.frombuffer(BANNER.sub(" ", _TOP.sub("", text)).encode("utf-8", "replace"), np.uint8).astype(np.uint32)
 
 
 def index_bitmap(texts: list[str | None]) -> bytes:
@@ -76,7 +76,8 @@ def features(path: str | None, text: str | None, index: np.ndarray) -> tuple[np.
     if text:
         b = _bytes(text)
         if len(b) >= 4:
-            g = (b[:-3] | b[1:-2] << np.uint32(8) | b[2:-1] << np.uint32(16) | b[3:] << np.uint32(24)) * np.uint32(2654435761)
+            d = _PLAIN[b]
+            g = (d[:-3] | d[1:-2] << np.uint32(8) | d[2:-1] << np.uint32(16) | d[3:] << np.uint32(24)) * np.uint32(2654435761)
             nz = np.flatnonzero(np.bincount(g >> np.uint32(32 - GRAM_BITS), minlength=GRAMS))
             pos.append(nz)
             val.append(np.full(len(nz), 1 / len(nz) ** 0.5))
@@ -163,7 +164,7 @@ def train(requests: DataFrame, index_texts: list[str | None], fit_rows: int = FI
     part = requests if n <= fit_rows else requests.where(F.pmod(F.xxhash64("request_id"), F.lit(1_000_000)) < int(1_000_000 * fit_rows / n))
     shape = "kind string, part string, files int, labelled int, flagged int, both int, weights binary"
     got = part.select("request_id", "repo", "file_path", "snippet").coalesce(1).mapInPandas(_train(index_bitmap(index_texts)), shape).collect()
-    weights = next(np.frombuffer(bytes(r.weights), np.float32).reshape(SIZE, len(KINDS)) for r in got if r.kind == "model")
+    weights = next((np.frombuffer(bytes(r.weights), np.float32).reshape(SIZE, len(KINDS)) for r in got if r.kind == "model"), np.zeros((SIZE, len(KINDS)), np.float32))
     return weights, [tuple(r)[:-1] for r in got if r.kind != "model"]
 
 
