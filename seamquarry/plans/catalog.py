@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import c_facts, graph, hierarchy, reports, retrieval, source_text
+from ..operators import c_facts, evidence, graph, hierarchy, reports, retrieval, source_text
 from ..session import table
 from ..streaming import trace
 
@@ -550,3 +550,101 @@ def stream_window_counts(spark, d):
     """Extension: tumbling windows of events under a watermark; windows still open at the end are not out yet, as append mode means."""
     s = trace.read_stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     return trace.drain(spark, trace.window_counts(s, "ts", "event_type", "1 hour", "1 hour"))
+
+
+# Evidence
+
+
+@query()
+def model_json(spark, d):
+    return evidence.with_python(table(spark, d, "documents"), "doc_id", "text", evidence.json_text, "string", "json_text")
+
+
+@query()
+def canonical_attributes(spark, d):
+    log = source_text.once(table(spark, d, "runlog").select("record_id", "attributes"), "record_id")
+    c = evidence.with_python(log, "record_id", "attributes", evidence.canonical, "string", "canonical")
+    return c.where("canonical is not null").select("record_id", F.sha2("canonical", 256).alias("json_hash"))
+
+
+@query()
+def redacted_attributes(spark, d):
+    log = source_text.once(table(spark, d, "runlog").select("record_id", "attributes"), "record_id")
+    return evidence.with_python(log, "record_id", "attributes", lambda t: evidence.redacted(t)[0], "string", "attributes_safe")
+
+
+@query(
+    f"SELECT finding_id, regexp_matches(lower(coalesce(reasoning, '')), 'race') AS race FROM {FIND} WHERE NOT regexp_matches(lower(coalesce(reasoning, '')), 'not |no |never |without')"
+)
+def prose_signals(spark, d):
+    """Findings whose reasoning holds no negation at all, and whether it speaks of a race."""
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id").where(~F.lower(F.coalesce("reasoning", F.lit(""))).rlike("not |no |never |without"))
+    return f.select("finding_id", evidence.signalled(F.col("reasoning"), ["race"]).alias("race"))
+
+
+@query(f"SELECT min(finding_id) AS finding_id, count(*) AS claims, arg_min(issue, finding_id) AS issue, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM (SELECT *, lower(regexp_replace(issue, '{S}+', ' ', 'g')) AS k FROM {NORM}) GROUP BY k, severity")
+def merged_claims(spark, d):
+    f = findings(spark, d).select("finding_id", "issue", "severity", F.array("repo").alias("repos"))
+    return evidence.fresh_claims(f, "issue", ["severity"], ["repos"], "finding_id").select("finding_id", "claims", "issue", F.array_join("repos", ",").alias("repos"))
+
+
+@query(f"SELECT finding_id FROM {FIND} WHERE NOT coalesce(regexp_matches(file, '^tests/.*$') AND NOT regexp_matches(file, '^tests/[^/]*/.*\\.py$'), false)")
+def in_scope_findings(spark, d):
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id")
+    return evidence.in_scope(f, "file", [("tests/*/**.py", False), ("tests/**", True)]).select("finding_id")
+
+
+@query(f"WITH a AS (SELECT finding_id, cwe, bool_or(coalesce(confidence < 0.5, false)) AS gone FROM {FIND} GROUP BY finding_id, cwe) SELECT finding_id FROM a GROUP BY finding_id HAVING NOT bool_and(gone)")
+def admitted_findings(spark, d):
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id")
+    return evidence.admitted(f.select("finding_id", F.col("cwe").alias("alternative"), (F.col("confidence") < 0.5).alias("contradicted")))
+
+
+@query()
+def review_batches(spark, d):
+    f = findings(spark, d).select("file", "finding_id", T.token_estimate(F.concat_ws(" ", "issue", "reasoning", "mitigation"), 4.0).alias("tokens"))
+    return evidence.batches(f, "file", "finding_id", "tokens", 2000)
+
+
+@query(
+    f"SELECT f.finding_id AS id, max_by(r.record_id, struct_pack(a := r.ts, b := r.record_id)) AS record_id FROM {FIND} f LEFT JOIN {_LOG} r ON r.run_id = f.run_id AND r.ts <= f.created_at GROUP BY f.finding_id"
+)
+def last_record_before(spark, d):
+    """The last trace record of its run before each finding was made: an as-of join."""
+    log = source_text.once(table(spark, d, "runlog").where("run_id is not null and record_id is not null").select("record_id", "run_id", "ts"), "record_id")
+    last = log.groupBy("run_id", "ts").agg(F.max("record_id").alias("record_id"))
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id").select(F.col("finding_id").alias("id"), "run_id", F.col("created_at").alias("ts"))
+    return evidence.latest_before(f, last, ["run_id"], "ts", "record_id").select("id", "record_id")
+
+
+@query()
+def graph_fingerprint(spark, d):
+    return evidence.table_fingerprint(_nodes(spark, d), "repo", ["id", "name", "line", "is_source", "is_sink"])
+
+
+def _listed(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return graph.latest_revision(table(spark, d, "codegraph_records")).where(F.col("kind") == kind).select("repo", F.col("identity").alias("file_path"))
+
+
+_LAST = "(SELECT DISTINCT repo, kind, identity AS file_path FROM codegraph_records JOIN (SELECT repo, max(graph_revision) AS graph_revision FROM codegraph_records GROUP BY repo) USING (repo, graph_revision))"
+
+
+@query(f"SELECT repo, 'unprocessed_file' AS problem, count(*) AS n FROM {_NODES} n WHERE file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_LAST} p WHERE p.kind = 'processed' AND p.repo = n.repo AND p.file_path = n.file_path) GROUP BY repo UNION ALL SELECT repo, 'duplicate_id', count(*) FROM (SELECT repo, id FROM {_NODES} GROUP BY repo, id HAVING count(*) > 1) GROUP BY repo")
+def graph_validation(spark, d):
+    return evidence.graph_problems(_nodes(spark, d), _edges(spark, d), _listed(spark, d, "processed"))
+
+
+@query(
+    f"""WITH a AS (SELECT DISTINCT repo, file_path FROM {REQ} WHERE regexp_matches(lower(file_path), '\\.(c|h|cc|cpp|cxx|hpp)$')), p AS (SELECT repo, file_path FROM {_LAST} WHERE kind = 'processed'), f AS (SELECT repo, file_path FROM {_LAST} WHERE kind = 'failed'),
+    k AS (SELECT * FROM a UNION SELECT * FROM p UNION SELECT * FROM f),
+    m AS (SELECT k.*, CASE WHEN p.repo IS NOT NULL AND f.repo IS NOT NULL THEN 'both' WHEN a.repo IS NULL THEN 'unasked' WHEN p.repo IS NULL AND f.repo IS NULL THEN 'missing' END AS problem
+      FROM k LEFT JOIN a USING (repo, file_path) LEFT JOIN p USING (repo, file_path) LEFT JOIN f USING (repo, file_path)) SELECT * FROM m WHERE problem IS NOT NULL"""
+)
+def build_coverage(spark, d):
+    asked = _c_files(spark, d).select("repo", "file_path")
+    return evidence.coverage(_listed(spark, d, "processed"), _listed(spark, d, "failed"), asked)
+
+
+@query()
+def sarif_validation(spark, d):
+    return evidence.sarif_problems(source_text.once(table(spark, d, "sarif_reports"), "report_id"))
