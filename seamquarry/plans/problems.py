@@ -47,4 +47,20 @@ t AS (SELECT run_id, span_id, [span_id] AS ids FROM top
   UNION ALL SELECT n.run_id, n.span_id, list_append(t.ids, n.span_id) FROM t JOIN n ON n.run_id = t.run_id AND n.parent = t.span_id),
 x AS (SELECT run_id, span_id AS descendant, len(ids) AS own, unnest(ids) AS span_id, unnest(range(1, len(ids) + 1)) AS place FROM t)
 SELECT run_id, span_id, descendant, own - place AS hops FROM x WHERE place < own""",
+    "p2_hierarchy": """
+WITH RECURSIVE n AS MATERIALIZED (SELECT run_id, span_id, min(CASE WHEN parent_span_id <> '' THEN parent_span_id END) AS parent FROM runlog
+  WHERE record IN ('span.start', 'span.end') AND run_id IS NOT NULL AND coalesce(span_id, '') <> '' GROUP BY run_id, span_id),
+l AS MATERIALIZED (SELECT n.run_id, n.span_id, p.span_id AS parent FROM n LEFT JOIN n p ON p.run_id = n.run_id AND p.span_id = n.parent),
+t AS (SELECT run_id, span_id, [span_id] AS ids FROM l WHERE parent IS NULL
+  UNION ALL SELECT l.run_id, l.span_id, list_append(t.ids, l.span_id) FROM t JOIN l ON l.run_id = t.run_id AND l.parent = t.span_id),
+s AS (SELECT run_id, span_id, count(*) AS subtree FROM (SELECT run_id, unnest(ids) AS span_id FROM t) GROUP BY run_id, span_id)
+SELECT l.run_id, l.span_id, l.parent, '/' || array_to_string(ids, '/') AS path, len(ids) - 1 AS depth, ids[1] AS root, subtree, ids IS NULL AS unrooted
+FROM l LEFT JOIN t USING (run_id, span_id) LEFT JOIN s USING (run_id, span_id)""",
+    "p7_found": """
+WITH x AS (SELECT 'sarif' AS origin, report_id::VARCHAR AS k, ltrim(payload, chr(65279)) AS j FROM sarif_reports UNION ALL SELECT 'runlog', record_id, ltrim(attributes, chr(65279)) FROM runlog),
+v AS (SELECT origin, k, j::JSON AS j FROM x WHERE json_valid(j)),
+d AS (SELECT origin, k, CASE WHEN json_type(j) = 'VARCHAR' THEN ltrim(j ->> '$', chr(65279)) ELSE j::VARCHAR END AS j FROM v),
+w AS (SELECT DISTINCT origin, k, j FROM d WHERE json_valid(j) AND json_type(j) IN ('OBJECT', 'ARRAY'))
+SELECT DISTINCT origin, k AS record_key, CASE WHEN fullkey[2:2] = '.' THEN fullkey[3:] ELSE fullkey[2:] END AS child_path
+FROM w, json_tree(w.j::JSON) AS t WHERE t.type = 'OBJECT' AND ends_with(fullkey, ']')""",
 }
