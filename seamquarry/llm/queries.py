@@ -127,8 +127,17 @@ i AS (
 """
 
 
+_WORDS = """
+WITH f AS (SELECT finding_id, lower(concat_ws(' ', coalesce(any_value(issue), ''), coalesce(any_value(reasoning), ''), coalesce(any_value(mitigation), ''))) AS t FROM review_findings GROUP BY finding_id),
+w AS MATERIALIZED (SELECT finding_id, unnest(list_distinct(regexp_extract_all(t, '[a-z0-9_]+'))) AS w FROM f),
+n AS (SELECT finding_id, count(*) AS n FROM w GROUP BY finding_id),
+p AS (SELECT a.finding_id AS a, b.finding_id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.finding_id < b.finding_id GROUP BY ALL)
+SELECT a AS finding_id_a, b AS finding_id_b FROM p JOIN n x ON x.finding_id = a JOIN n y ON y.finding_id = b WHERE k >= 0.75 * (x.n + y.n - k)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _WORDS,
         "p6_found": _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
         "p6_counts": _TERMS + "SELECT field, term, occurrences, records, mark FROM marked",
         "p5_found": _ITEMS + "SELECT DISTINCT item_kind, item_id FROM i WHERE length(text) > max_chars",
