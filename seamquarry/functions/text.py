@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as Python's str.split and str.strip see it, spelt out so that every regex engine agrees.
 SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters as a string, for trimming.
+SPACE_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Words that carry no meaning as search terms.
 STOP_TERMS = "this that with from line file rule finding valid invalid code runtime check checks called function obsolete recommended later array length instead variable".split()
 # Characters per token by model family, the first marker that a model's name holds decides.
@@ -46,14 +48,19 @@ def unix_lines(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """The lines, without an empty last one after a final line end. A null or empty text has none."""
-    t = unix_lines(F.coalesce(text, F.lit("")))
-    parts = F.split(t, "\n", -1)
-    return F.when(t == "", F.array().cast("array<string>")).when(t.endswith("\n"), F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(parts)
+    inner = F.regexp_replace(unix_lines(text), r"\n\z", "")
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(inner, "\n", -1))
 
 
 def fold_space(text: Column) -> Column:
-    """Runs of white space become one space, none at the ends."""
-    return F.regexp_replace(F.regexp_replace(text, SPACE + "+", " "), "^ | $", "")
+    """Runs of white space become one space, none at the ends. Lone spaces, by far the most, are never matched."""
+    odd = SPACE.replace(r"[\s", r"[\t\n\f\r")
+    return F.trim(F.regexp_replace(text, f" *{odd}{SPACE}*|  +", " "))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at the ends; null counts as empty."""
+    return F.trim(F.coalesce(text, F.lit("")), F.lit(SPACE_CHARS))
 
 
 def content_hash(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from ..session import Scratch
 
 #: Steps of a walk in one job.
 LEVELS = 4
+#: Edges that one task may join up (a few MB); above it the rounds are distributed.
+CORE_ROWS = 200_000
 NODE = "struct<unique_name:string,file_path:string,name:string,line_number:int,calls:array<string>,is_source:boolean,is_sink:boolean>"
 
 
@@ -93,16 +98,41 @@ def shortest_routes(spark: SparkSession, e: DataFrame, starts: DataFrame, goals:
     return out.select("repo", "start", F.col("node").alias("goal"), "path", (F.size("path") - 1).alias("hops"))
 
 
-def components(spark: SparkSession, vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In one task: the least id of each component of a bounded number of edges."""
+    lead: dict = {}
+
+    def find(x):
+        top = x
+        while lead.setdefault(top, top) != top:
+            top = lead[top]
+        while lead[x] != top:
+            lead[x], x = top, lead[x]
+        return top
+
+    for b in batches:
+        for x, y in zip(b["a"].tolist(), b["b"].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                lead[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"id": list(lead), "component": [find(x) for x in lead]})
+
+
+def components(spark: SparkSession, vertices: DataFrame, pairs: DataFrame, core_rows: int = CORE_ROWS) -> DataFrame:
     """id, component (its least id) over undirected pairs (a, b); vertices without pairs are alone.
 
     Alternating large-star and small-star rounds: neighbours move to the least one around, and a hub's neighbours are spread over the
-    stars of smaller nodes, so the rounds grow as the logarithm of the longest chain and no group is gathered in one row.
+    stars of smaller nodes, so the rounds grow as the logarithm of the longest chain and no group is gathered in one row. At most
+    `core_rows` edges, which are counted first, are joined up in one task instead, where rounds would cost more than the work.
     """
     tmp = Scratch(spark)
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     e = tmp.write(pairs.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
+    if e.count() <= core_rows:
+        kind = dict(e.dtypes)["a"]
+        lead = e.coalesce(1).mapInPandas(_union, f"id {kind}, component {kind}")
+        return vertices.select("id").distinct().join(lead, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     while True:
         l = both(e)
         least = l.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -15,7 +15,7 @@ def normalised(findings: DataFrame) -> DataFrame:
     """Review rows as a report shows them: null strings empty, strings stripped, unknown CWE named so, severity in title case, confidence 0 where null or not a number."""
     out = findings
     for c in FIELDS:
-        out = out.withColumn(c, F.regexp_replace(F.coalesce(F.col(c), F.lit("")), f"^{T.SPACE}+|{T.SPACE}+$", ""))
+        out = out.withColumn(c, T.stripped(F.col(c)))
     conf = F.coalesce(F.col("confidence"), F.lit(0.0))
     return (
         out.withColumn("cwe", F.when(F.col("cwe") == "", "CWE-Unknown").otherwise(F.col("cwe")))

@@ -32,7 +32,7 @@ def budgeted(passages: DataFrame, group: str, order: str, text: str, budget: int
     Blank passages are skipped and cost nothing. Any other takes a character at least, so no group needs more than its first
     `budget` passages: the rank limit goes below the shuffle, and the sums run over no more than that.
     """
-    p = passages.select(group, order, F.length(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"^{T.SPACE}+|{T.SPACE}+$", "")).alias("size")).where("size > 0")
+    p = passages.select(group, order, F.length(T.stripped(F.col(text))).alias("size")).where("size > 0")
     p = p.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("nth") <= budget)
     before = F.coalesce(F.sum("size").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     p = p.withColumn("before", before).where(F.col("before") < budget)

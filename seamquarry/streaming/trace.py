@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.source_text import once
 from ..session import Scratch
@@ -86,25 +82,13 @@ def window_counts(stream: DataFrame, ts: str, key: str, width: str = "1 hour", l
     return w.select(key, F.col("window.start").alias("window_start"), "n")
 
 
-PAIRED = "run_id string, span_id string, kind string, name string, status string, duration_ms double"
-_STATE = "kind string, name string, started boolean, status string, duration_ms double, ended boolean, sent boolean"
-
-
-def _pair(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    kind, name, started, status, duration, ended, sent = state.get if state.exists else (None, None, False, None, None, False, False)
-    for b in batches:
-        for rec, k, n, st, du in zip(b["record"], b["kind"], b["name"], b["status"], b["duration_ms"]):
-            if rec == "span.start":
-                kind, name, started = k, n, True
-            else:
-                status, duration, ended = st, None if pd.isna(du) else float(du), True
-    ready = started and ended and not sent
-    state.update((kind, name, started, status, duration, ended, sent or ready))
-    if ready:
-        yield pd.DataFrame([(*key, kind, name, status, duration)], columns=[c.split()[0] for c in PAIRED.split(", ")])
-
-
 def paired_spans(stream: DataFrame) -> DataFrame:
-    """PAIRED: each span once its start and its end have both come, in any order; repeated rows give nothing more. State is kept for each (run, span)."""
-    rows = stream.where("record in ('span.start', 'span.end') and run_id is not null and span_id is not null").select("run_id", "span_id", "record", "kind", "name", "status", "duration_ms")
-    return rows.groupBy("run_id", "span_id").applyInPandasWithState(_pair, PAIRED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    """run_id, span_id, kind, name, status, duration_ms: each span once its start and its end have both come, in any order.
+
+    Repeated rows are dropped by (run, span, record), then starts and ends meet in a stream-stream join. Spans may stay open for
+    any time, so the state of both is kept for good; it is one small row for each start and end.
+    """
+    rows = stream.where("record in ('span.start', 'span.end') and run_id is not null and span_id is not null").select("run_id", "span_id", "record", "kind", "name", "status", "duration_ms").dropDuplicates(["run_id", "span_id", "record"])
+    s = rows.where("record = 'span.start'").select("run_id", "span_id", "kind", "name")
+    e = rows.where("record = 'span.end'").select("run_id", "span_id", "status", "duration_ms")
+    return s.join(e, ["run_id", "span_id"]).select("run_id", "span_id", "kind", "name", "status", "duration_ms")

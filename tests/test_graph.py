@@ -1,6 +1,7 @@
 import random
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
 from seamquarry.functions.text import SINK_CALLS
@@ -8,7 +9,8 @@ from seamquarry.operators import c_facts as C
 from seamquarry.operators import graph as G
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("core_rows", [10**6, 0])
+def test_components_match_union_find(spark, core_rows):
     rng = random.Random(3)
     ids, pairs = list(range(150)), [(rng.randrange(150), rng.randrange(150)) for _ in range(90)] + [(i, i + 1) for i in range(100, 140)] + [(7, 7), (None, 3)]
     lead = list(ids)
@@ -22,7 +24,7 @@ def test_components_match_union_find(spark):
         if a is not None:
             a, b = sorted((find(a), find(b)))
             lead[b] = a
-    got = {r.id: r.component for r in G.components(spark, spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    got = {r.id: r.component for r in G.components(spark, spark.createDataFrame([(i,) for i in ids], "id bigint"), spark.createDataFrame(pairs, "a bigint, b bigint"), core_rows).collect()}
     assert got == {i: find(i) for i in ids}
     none = spark.createDataFrame([], "a bigint, b bigint")
     assert G.components(spark, spark.createDataFrame([(1,)], "id bigint"), none).first().component == 1
