@@ -107,15 +107,16 @@ post = '(' [ args ] ')' | '[' [ expr ] ']' | ( '.' | '->' ) [ 'template' ] ( qid
 JS = """
 tu = { stmt } ;
 block = '{' { stmt } '}' ;
-stmt = block | ';' | vars ';' | func | 'async' func | class | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'for' [ 'await' ] '(' forhead ')' stmt
+stmt = block | ';' | vars ';' | named_func | 'async' named_func | class | 'if' '(' expr ')' stmt [ 'else' stmt ] | 'for' [ 'await' ] '(' forhead ')' stmt
   | 'while' '(' expr ')' stmt | 'do' stmt 'while' '(' expr ')' [ ';' ] | 'switch' '(' expr ')' '{' { ( 'case' expr | 'default' ) ':' { stmt } } '}'
   | 'try' block ( 'catch' [ '(' bind ')' ] block [ 'finally' block ] | 'finally' block ) | 'throw' expr ';' | 'return' [ expr ] ';'
-  | ( 'break' | 'continue' ) [ ID ] ';' | 'debugger' ';' | import | export | ID ':' stmt | 'with' '(' expr ')' stmt | expr ';' ;
+  | ( 'break' | 'continue' ) [ ID ] ';' | 'debugger' ';' | import | export | ID ':' stmt | 'with' '(' expr ')' stmt | sassign { ',' assign } ';' ;
 vars = ( 'var' | 'let' | 'const' ) bind [ '=' assign ] { ',' bind [ '=' assign ] } ;
 bind = ID | soft | array | object ;
 soft = 'async' | 'of' | 'let' | 'static' | 'as' | 'from' ;
 forhead = [ vars | expr ] ';' [ expr ] ';' [ expr ] | ( ( 'var' | 'let' | 'const' ) bind | unary ) ( 'of' | 'in' ) expr ;
 func = 'function' [ '*' ] [ ID | soft ] '(' [ params ] ')' block ;
+named_func = 'function' [ '*' ] ( ID | soft ) '(' [ params ] ')' block ;
 params = param { ',' param } [ ',' ] ;
 param = [ '...' ] bind [ '=' assign ] ;
 class = { '@' unary } 'class' [ ID ] [ 'extends' unary ] '{' { member } '}' ;
@@ -128,10 +129,14 @@ named = '{' [ pick { ',' pick } [ ',' ] ] '}' ;
 pick = ( name | STR ) [ 'as' ( name | STR ) ] ;
 export = 'export' ( vars ';' | func | 'async' func | class | 'default' ( func | 'async' func | class | assign ';' ) | named [ 'from' STR ] ';' | '*' [ 'as' name ] 'from' STR ';' ) ;
 expr = assign { ',' assign } ;
-assign = unary { BIN unary | '*' unary | '-' unary | '+' unary | '/' unary | '=' assign | 'in' unary | '=>' ( block | assign ) | '?' assign ':' assign } ;
+assign = unary tail ;
+sassign = sunary tail ;
+tail = { BIN unary | '*' unary | '-' unary | '+' unary | '/' unary | '=' assign | 'in' unary | '=>' ( block | assign ) | '?' assign ':' assign } ;
 unary = { prefix } ( atom { post } | 'yield' ) ;
+sunary = prefix { prefix } ( atom { post } | 'yield' ) | satom { post } | 'yield' ;
 prefix = '+' | '-' | '!' | '++' | '--' | 'typeof' | 'void' | 'delete' | 'await' | 'new' | 'yield' [ '*' ] ;
-atom = ID | soft | NUM | STR | TPL | REGEX | '(' [ list ] ')' | array | object | func | 'async' func | class | 'import' | PRIVATE ;
+satom = ID | soft | NUM | STR | TPL | REGEX | '(' [ list ] ')' | array | 'import' | PRIVATE ;
+atom = satom | object | func | 'async' func | class ;
 list = item { ',' item } [ ',' ] ;
 item = [ '...' ] assign ;
 array = '[' { ',' } [ item { ',' { ',' } item } { ',' } ] ']' ;

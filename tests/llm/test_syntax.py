@@ -21,7 +21,7 @@ GOOD = {
     "javascript": [
         "const a = 1\nlet b = a\n  + 2\nfunction f(x, {y = 2, ...z}, ...r) { return }\n", "a = b / c / d; e = /[/)]+/g.test(x); return_ = x => ({ a: 1 })", "class A extends B { #p = 1; static async *m() { yield* x } get v() { return this.#p } }", "x = `a ${b ? `c ${d}` : '}'} e`;",
         "import x, { y as z } from './m.js'\nexport default async function () { for await (const a of b) { } }\nexport * as q from 'q'", "label: for (;;) { if (a) continue label; else break }\ndo x++; while (x < 3)\nif (a?.b?.[c] ?? d) { }", "#!/usr/bin/env node\nswitch (a) { case 1: b(); default: }\ntry { } catch { } finally { }",
-        "!function(a,b){\"use strict\";for(var v=0;v<b.length;v++)u.push(b[v])}(1,2);", "var o = { get a() { return 1 }, async b() { }, [c]: 1, d, 'e': 2, if: 3 }; o.default.if",
+        "!function(a,b){\"use strict\";for(var v=0;v<b.length;v++)u.push(b[v])}(1,2);", "{ a: 1 }\n({ 'a': 1 }).b; (function () { })(); yield\n-{ a: 1 }.a", "var o = { get a() { return 1 }, async b() { }, [c]: 1, d, 'e': 2, if: 3 }; o.default.if",
     ],
     "go": [
         "package p\n\nimport (\n\t\"a\"\n\tx \"b\"\n)\n\nconst N = 1\n\nfunc (r *T) f(a, b int, c ...string) (int, error) {\n\tif v, ok := m[k]; ok {\n\t\treturn v, nil\n\t}\n\tfor i := 0; i < 3; i++ {\n\t}\n\tfor k, v := range m {\n\t}\n\treturn 0, err\n}\n",
@@ -32,7 +32,7 @@ GOOD = {
 BAD = {
     "c": ["int f() {", "int f() {\n<<<<<<< HEAD\n}", "int f() { return 1 }", "int f() { a = ; }", "[... 3 lines omitted ...]", 'char *s = "abc;\n', "/* open", "}", "int f() { if (a { } }", "def f(x):\n    return x\n", "package main\nimport \"fmt\"\nfunc main() {\n}\n", "#!/bin/sh\necho hi\n", '{"a": [1, 2]}', "<html></html>", "std::string s;", "int a;\n#if X\nint b;\n", "#endif\n", "int f() { goto; }", "import { a } from './b.js';\n"],
     "cpp": ["class A { public: int a;", "namespace x { int a; ", "int main() { std::vector<int> v(3; }", "<<<<<<< HEAD\nint a;", "void f() { try { } }", "def f(): pass"],
-    "javascript": ["function f( { }", "const = 3;", "a b", "if (a) { b(); ", "x = 'abc\n", "#include <stdio.h>\nint main() { }", "def f(x):\n  return x\n", "<<<<<<< HEAD\na()\n", "import x from;", "class A { m( }", "`abc"],
+    "javascript": ["function f( { }", "const = 3;", "a b", "if (a) { b(); ", "x = 'abc\n", "#include <stdio.h>\nint main() { }", "def f(x):\n  return x\n", "<<<<<<< HEAD\na()\n", "import x from;", "class A { m( }", "`abc", '{\n  "name": "tank",\n  "rules": [1]\n}\n', "function () { }"],
     "go": ["package p\nfunc f() {", "func f() {}\n", "package p\nx := 1\n", "package p\nfunc f() {\n\tif x {\n\t}\n\telse {\n\t}\n}\n", "package p\nfunc f() {\n\ta b\n}\n", "package p\n#include <a>\n"],
     "python": ["def f(:\n  pass\n", "if a:\nb\n", "x = (1,\n", "  x = 1\n", "def f():\n    a\n  b\n", "x = 'a\n", "<<<<<<< HEAD\nx = 1\n", "else:\n    pass\n", "int f(void) { return 0; }\n", "try:\n    pass\n", "print 'a'\n", "x = 1 +\n"],
 }
