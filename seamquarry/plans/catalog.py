@@ -648,3 +648,63 @@ def build_coverage(spark, d):
 @query()
 def sarif_validation(spark, d):
     return evidence.sarif_problems(source_text.once(table(spark, d, "sarif_reports"), "report_id"))
+
+
+# Upkeep
+
+
+@query(f"SELECT request_id FROM {REQ} q WHERE NOT EXISTS (SELECT 1 FROM review_findings f WHERE f.repo = q.repo AND f.file = q.file_path)")
+def remaining_work(spark, d):
+    """Files that no finding speaks of: what a resumed run still has to do."""
+    done = table(spark, d, "review_findings").select("repo", F.col("file").alias("file_path")).distinct()
+    return requests(spark, d).join(done, ["repo", "file_path"], "left_anti").select("request_id")
+
+
+@query(f"SELECT request_id, min(request_id) OVER (PARTITION BY sha256(snippet)) AS representative FROM {REQ} WHERE snippet IS NOT NULL")
+def unique_requests(spark, d):
+    """Equal texts are worked on once, under the least id, and the answer fans out to the others: aggregate, then join back."""
+    h = requests(spark, d).where("snippet is not null").select("request_id", F.sha2("snippet", 256).alias("h"))
+    return h.join(h.groupBy("h").agg(F.min("request_id").alias("representative")), "h").select("request_id", "representative")
+
+
+@query(f"SELECT request_id, repo, file_path FROM {REQ} ORDER BY encode(repo), encode(file_path), request_id LIMIT 50 OFFSET 100")
+def record_page(spark, d):
+    """One page of an ordered listing: the limit is the feature."""
+    return requests(spark, d).orderBy("repo", "file_path", "request_id").offset(100).limit(50).select("request_id", "repo", "file_path")
+
+
+@query("SELECT source, sum(CASE WHEN length(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END)::BIGINT AS tokens, count(*) AS documents FROM documents GROUP BY source")
+def index_tokens(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.sum(T.token_estimate(F.col("text"), 4.0)).alias("tokens"), F.count(F.lit(1)).alias("documents"))
+
+
+@query(f"SELECT repo, caller, symbol FROM {_CALLS} WHERE resolution = 'unresolved'")
+def unresolved_calls(spark, d):
+    return graph.resolve_calls(_nodes(spark, d)).where("resolution = 'unresolved'").select("repo", "caller", "symbol")
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT repo, identity AS name, unnest(json_extract_string(payload, '$.locations[*]')) AS place FROM codegraph_records JOIN (SELECT repo, max(graph_revision) AS graph_revision FROM codegraph_records GROUP BY repo) USING (repo, graph_revision) WHERE kind = 'declaration'),
+    r AS (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY encode(place)) AS n FROM p)
+    SELECT n.repo, n.id, (SELECT string_agg(place, '|' ORDER BY r.n) FROM r WHERE r.repo = n.repo AND r.name = n.name AND r.n <= 4) AS places FROM (SELECT DISTINCT repo, id, name FROM {_NODES}) n"""
+)
+def public_entry_points(spark, d):
+    """Each function with the first four places where its name is declared, null where it is nowhere."""
+    p = graph.latest_revision(table(spark, d, "codegraph_records")).where("kind = 'declaration'").select("repo", F.col("identity").alias("name"), F.explode(F.from_json("payload", "locations array<string>")["locations"]).alias("place")).distinct()
+    first = p.withColumn("n", F.row_number().over(Window.partitionBy("repo", "name").orderBy("place"))).where("n <= 4")
+    places = first.groupBy("repo", "name").agg(F.array_join(F.array_sort(F.collect_list("place")), "|").alias("places"))
+    return _nodes(spark, d).select("repo", "id", "name").distinct().join(places, ["repo", "name"], "left").select("repo", "id", "places")
+
+
+@query(f"SELECT DISTINCT repo, id, min(symbol) AS symbol FROM (SELECT repo, id, unnest(calls) AS symbol FROM {_NODES}) WHERE starts_with(lower(symbol), 'release_') GROUP BY repo, id")
+def configured_sinks(spark, d):
+    """Functions that call a name of a configured family, whatever its case."""
+    c = _nodes(spark, d).select("repo", "id", F.explode("calls").alias("symbol")).where(F.lower("symbol").startswith("release_"))
+    return c.groupBy("repo", "id").agg(F.min("symbol").alias("symbol"))
+
+
+@query(f"SELECT finding_id, trim(regexp_extract(reasoning, 'Evidence:([^.]*)', 1)) AS evidence, regexp_matches(reasoning, 'Evidence:') AS marked FROM {NORM}")
+def reasoning_parts(spark, d):
+    """The marked part of a reasoning text, empty where there is none."""
+    r = F.col("reasoning")
+    return findings(spark, d).select("finding_id", F.trim(F.regexp_extract(r, r"Evidence:([^.]*)", 1)).alias("evidence"), r.rlike("Evidence:").alias("marked"))
