@@ -220,7 +220,7 @@ def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[
     if not 0.5 <= t < 1:
         raise ValueError("t must be in [0.5, 1)")
     tmp = Scratch(spark)
-    text = F.array_join(F.array_sort(words(*columns)), " ")
+    text = F.array_join(F.sort_array(words(*columns)), " ")
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
     sets = tmp.write(rows.groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.first("text").alias("text")))
     n_words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).alias("n_words")
