@@ -5,8 +5,10 @@ one, once or twice over. Document words are joined by hash with that table; a ma
 damaged. Matches are verified before they count, because two clean words can be each other's garbled form:
 
 * forms of UTF-8 bytes count as they are: nobody writes them by hand;
-* other forms need an original that is in at least RATIO times as many documents, and count as proof only from three
-  letters on (or if they hold U+FFFD, which decoding leaves behind).
+* forms with U+FFFD beside a letter or digit count as they are too: decoding leaves it behind, prose about it doesn't put it there;
+* other forms need an original that is in at least RATIO times as many distinct texts, so copies of a damaged text don't
+  outvote its original, or in as many texts and RATIO times as many documents, and count as proof only from three letters
+  on (or if they hold U+FFFD).
 
 Words are runs of letters with the non-ASCII characters in and beside them. Non-ASCII marks without letters are taken with
 what stands around them up to white space, digits folded, so that `(U+FFFD)` in prose about it isn't `12 U+FFFD 34`.
@@ -105,14 +107,14 @@ def garbled(word: str) -> dict[str, str]:
 
 def _doc_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got = [(d, list(t)) for d, t in ((d, tokens(x)) for d, x in zip(b["doc_id"], b["text"])) if t]
-        yield pd.DataFrame(got, columns=["doc_id", "words"])
+        got = [(d, h, list(t)) for d, h, t in ((d, h, tokens(x)) for d, h, x in zip(b["doc_id"], b["text_hash"], b["text"])) if t]
+        yield pd.DataFrame(got, columns=["doc_id", "text_hash", "words"])
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(g, w, chain, n) for w, n in zip(b["word"], b["docs"]) if LOST not in w for g, chain in garbled(w).items()]
-        yield pd.DataFrame(rows, columns=["form", "original", "chain", "original_docs"])
+        rows = [(g, w, chain, n, k) for w, n, k in zip(b["word"], b["docs"], b["texts"]) if LOST not in w for g, chain in garbled(w).items()]
+        yield pd.DataFrame(rows, columns=["form", "original", "chain", "original_docs", "original_texts"])
 
 
 def damage(spark: SparkSession, documents: DataFrame) -> DataFrame:
@@ -121,12 +123,16 @@ def damage(spark: SparkSession, documents: DataFrame) -> DataFrame:
     Null and ASCII texts have none. The table of forms is made from all distinct words of all documents, nothing sampled.
     """
     tmp = Scratch(spark)
-    held = tmp.write(documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7F]")).select("doc_id", "text").mapInPandas(_doc_tokens, "doc_id bigint, words array<string>"))
-    vocabulary = tmp.write(held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("docs")))
-    forms = vocabulary.mapInPandas(_forms, "form string, original string, chain string, original_docs bigint")
-    met = forms.join(vocabulary.select(F.col("word").alias("form"), F.col("docs").alias("form_docs")), "form")
+    held = documents.where(F.col("doc_id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7F]")).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    held = tmp.write(held.mapInPandas(_doc_tokens, "doc_id bigint, text_hash bigint, words array<string>"))
+    texts = held.groupBy("text_hash").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("docs"))
+    vocabulary = tmp.write(texts.select("docs", F.explode("words").alias("word")).groupBy("word").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts")))
+    forms = vocabulary.mapInPandas(_forms, "form string, original string, chain string, original_docs bigint, original_texts bigint")
+    met = forms.join(vocabulary.select(F.col("word").alias("form"), F.col("docs").alias("form_docs"), F.col("texts").alias("form_texts")), "form")
     utf = F.col("chain").startswith("utf-8>")
-    met = met.where(utf & ~F.col("form").contains(LOST) | (F.col("original_docs") >= RATIO * F.col("form_docs")))
+    sure = utf & ~F.col("form").contains(LOST) | F.col("form").rlike(r"[\p{L}\p{N}]\x{FFFD}|\x{FFFD}[\p{L}\p{N}]")
+    more = (F.col("original_texts") >= F.col("form_texts")) & (F.col("original_docs") >= RATIO * F.col("form_docs"))
+    met = met.where(sure | (F.col("original_texts") >= RATIO * F.col("form_texts")) | more)
     letters = F.length(F.regexp_replace("form", r"[^\p{L}\p{S}\p{M}]", ""))
     proof = utf | F.col("form").contains(LOST) | (letters >= 3)
     best = met.groupBy("form").agg(F.max_by(F.struct("original", "chain", proof.alias("proof")), F.struct("original_docs", "original")).alias("b"))

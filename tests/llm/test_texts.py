@@ -74,3 +74,21 @@ def test_damaged_documents(spark):
         assert back[i] == CLEAN[k]
     assert back[106] == "ok ok " + CLEAN[2] and back[107] == "range 56–78 entries"
     assert E.damaged_documents(spark, df.limit(0)).count() == 0
+
+
+def test_copies_of_a_damaged_document(spark):
+    # half of all rows are copies of one damaged text; its words stand clean in three other texts
+    bad = CLEAN[1].encode("cp1251").decode("koi8-r")
+    rows = [(i, f"{CLEAN[1]} {i}") for i in range(3)] + [(i, "plain text") for i in range(10, 40)] + [(i, bad) for i in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in E.damaged_documents(spark, df).collect()} == set(range(100, 140))
+    back = E.restored(spark, df).collect()
+    assert len(back) == 40 and {r.text for r in back} == {CLEAN[1]}
+
+
+def test_lost_characters_need_no_ratio(spark):
+    # each original stands clean in one document only; a bare U+FFFD in prose stays clean beside a dash in the same place
+    rows = [(1, CLEAN[0]), (2, "range 12–34 entries"), (3, "a dash (–) here"), (10, CLEAN[0].encode("cp1252").decode("utf-8", "replace")), (11, "range 56\ufffd78 entries"), (12, "puts U+FFFD (\ufffd) in place of bytes")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in E.restored(spark, df).collect()} == {10: CLEAN[0], 11: "range 56–78 entries"}
+    assert {r.doc_id for r in E.damaged_documents(spark, df).collect()} == {10, 11}
