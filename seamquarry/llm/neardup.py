@@ -89,18 +89,24 @@ def prefix_length(size: int, t: float) -> int:
 def _combine(word: list[int], share: list[float], size: int, t: float, n: int, out: list[int]) -> None:
     """Keys of several words for a record whose prefix holds frequent ones: word and share are its frequent words, in order, numbered by place.
 
-    Two similar records share k words among their first p + k - 1, so where one word is too frequent, two or more do.
+    Two similar records share k words among their first p + k - 1, so where one word is too frequent, two or more do. Records
+    of different size end at different k, so each also has the keys of every k at which a smaller similar record may end:
+    the pair meets at the end of its smaller one.
     """
     p, first = prefix_length(size, t), size - len(word)
+    end = size - p + 1
+    least = end - prefix_length(end, t) + 1  # end is also the size of the smallest similar record
     todo = [((), 1.0, first)]
     while todo:
         chosen, expected, at = todo.pop()
         k = len(chosen)
-        if k and (expected * n <= HOT or k >= size - p + 1):
+        stop = k and expected * n <= HOT or k >= end
+        if k and (stop or k >= least):
             acc = k * 0x9E3779B97F4A7C15
             for x in chosen:
                 acc = (acc * 0xC2B2AE3D27D4EB4F + x) & 0xFFFFFFFFFFFFFFFF
             out.append(acc)
+        if stop:
             continue
         for j in range(at, min(p + k, size)):
             todo.append(((*chosen, word[j - first]), expected * (share[j - first] ** (0.5 if k else 1.0)), j + 1))

@@ -71,6 +71,51 @@ def test_frequent_words_as_combinations(spark):
     assert {tuple(r) for r in D.record_pairs(m, p).collect()} == brute(rows, 0.75) and n
 
 
+@pytest.mark.parametrize("size,n,share", [(4, 15_000, 0.2), (4, 150_000, 0.05), (8, 150_000, 0.2), (14, 150_000, 0.5)])
+def test_combinations_of_different_sizes_meet(size, n, share):
+    a, b = [], []
+    D._combine(list(range(1, size + 1)), [share] * size, size, 0.75, n, a)
+    D._combine(list(range(1, size + 2)), [share] * (size + 1), size + 1, 0.75, n, b)
+    assert set(a) & set(b)
+
+
+@pytest.mark.parametrize("t", [0.5, 0.75, 0.8])
+def test_similar_sets_share_a_combination(t):
+    rng = random.Random(7)
+    met = 0
+    for _ in range(3000):
+        x = sorted(rng.sample(range(1, 13), rng.randrange(2, 9)))
+        y = sorted(rng.sample(range(1, 13), rng.randrange(2, 9))) if rng.random() < 0.3 else sorted(set(x) ^ set(rng.sample(range(1, 13), rng.randrange(1, 4))))
+        if y and len(set(x) & set(y)) >= t * len(set(x) | set(y)):
+            a, b = [], []
+            for w, out in ((x, a), (y, b)):
+                D._combine(w, [0.3] * len(w), len(w), t, 10**9, out)
+            assert set(a) & set(b), (x, y)
+            met += len(x) != len(y)
+    assert met > 100
+
+
+def test_frequent_words_with_large_n(spark, monkeypatch):
+    # with no bound met, every key ends at its record's own size
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.sample([f"c{k}" for k in range(11)], rng.randrange(3, 10))), None, None, "") for i in range(150)]
+    keys = D._keys
+    monkeypatch.setattr(D, "HOT", 0)
+
+    def with_hot(*a):
+        run = keys(*a)
+
+        def go(batches):
+            D.HOT = 0
+            return run(batches)
+
+        return go
+
+    monkeypatch.setattr(D, "_keys", with_hot)
+    m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS)
+    assert {tuple(r) for r in D.record_pairs(m, p).collect()} == brute(rows, 0.75)
+
+
 def test_ring_never_loses_a_near_pair():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 2**16, (4000, D.SEGMENTS), dtype=np.uint16)
