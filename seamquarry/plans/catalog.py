@@ -582,6 +582,13 @@ def prose_signals(spark, d):
     return f.select("finding_id", evidence.signalled(F.col("reasoning"), ["race"]).alias("race"))
 
 
+@query()
+def prose_signals_all(spark, d):
+    """Every finding, and whether its reasoning speaks of a race without a negation just before it."""
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id")
+    return f.select("finding_id", evidence.signalled(F.col("reasoning"), ["race"]).alias("race"))
+
+
 @query(f"SELECT min(finding_id) AS finding_id, count(*) AS claims, arg_min(issue, finding_id) AS issue, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM (SELECT *, lower(regexp_replace(issue, '{S}+', ' ', 'g')) AS k FROM {NORM}) GROUP BY k, severity")
 def merged_claims(spark, d):
     f = findings(spark, d).select("finding_id", "issue", "severity", F.array("repo").alias("repos"))
