@@ -321,6 +321,34 @@ def usage_by_operation(spark, d):
     return reports.operation_report(reports.usage_totals(_usage(spark, d)))
 
 
+_USAGE_ALL = r"""(SELECT DISTINCT ON (record_id) run_id AS scope_id, json_extract_string(a, '$.model') AS model, json_extract_string(a, '$.operation') AS operation,
+  json_extract_string(a, '$.input_tokens')::BIGINT AS i, json_extract_string(a, '$.output_tokens')::BIGINT AS o, json_extract_string(a, '$.total_tokens')::BIGINT AS t
+  FROM (SELECT record_id, run_id, CASE WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x ELSE 'null' END) = 'VARCHAR' THEN ltrim(json_extract_string(CASE WHEN json_valid(x) THEN x ELSE 'null' END, '$'), chr(65279)) ELSE x END AS a
+    FROM (SELECT record_id, run_id, ltrim(attributes, chr(65279)) AS x FROM runlog WHERE record = 'event' AND name = 'usage'))
+  WHERE json_type(CASE WHEN json_valid(a) THEN a ELSE 'null' END) = 'OBJECT' ORDER BY record_id)"""
+_USAGE_ALL_CLEAN = _USAGE_CLEAN.replace(_USAGE, _USAGE_ALL)
+
+
+def _usage_all(spark: SparkSession, d: str) -> DataFrame:
+    """As `_usage`, with attributes that were encoded twice or start with a byte-order mark or white space."""
+    plain = lambda c: F.regexp_replace(c, "^\\ufeff+", "")
+    u = table(spark, d, "runlog").where("record = 'event' and name = 'usage'").select("record_id", "run_id", F.try_parse_json(plain("attributes")).alias("v"))
+    v = F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(plain(F.try_variant_get("v", "$", "string")))).otherwise(F.col("v"))
+    u = u.select("record_id", "run_id", v.alias("a")).where(F.schema_of_variant("a").startswith("OBJECT"))
+    get = lambda k, t: F.try_variant_get("a", f"$.{k}", t).alias(k)
+    return source_text.once(u.select("record_id", F.col("run_id").alias("scope_id"), get("model", "string"), get("operation", "string"), get("input_tokens", "bigint"), get("output_tokens", "bigint"), get("total_tokens", "bigint")), "record_id")
+
+
+@query(ORACLE["usage_grouping_sets"].replace(_USAGE_CLEAN, _USAGE_ALL_CLEAN))
+def usage_grouping_sets_all(spark, d):
+    return reports.usage_totals(_usage_all(spark, d))
+
+
+@query(ORACLE["usage_by_operation"].replace(_USAGE_CLEAN, _USAGE_ALL_CLEAN))
+def usage_by_operation_all(spark, d):
+    return reports.operation_report(reports.usage_totals(_usage_all(spark, d)))
+
+
 # Graph
 
 _NODES = """(SELECT DISTINCT ON (graph_revision, position) repo, identity AS id, json_extract_string(payload, '$.file_path') AS file_path, json_extract_string(payload, '$.name') AS name,

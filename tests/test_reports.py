@@ -65,6 +65,24 @@ def test_usage(spark):
     assert [(r.operation, r.rank) for r in R.operation_report(R.usage_totals(e)).orderBy("rank").collect()] == [("op", 1), ("llm", 2)]
 
 
+def test_usage_of_attributes_encoded_twice(spark, tmp_path):
+    import json
+
+    import duckdb
+
+    from seamquarry.plans import catalog
+
+    one = lambda n: json.dumps({"model": "m", "operation": "op", "input_tokens": n, "output_tokens": 1})
+    texts = [one(10), json.dumps(one(200)), "\ufeff" + one(3000), "\ufeff" + json.dumps("\ufeff" + one(40_000)), " " + one(500_000), "{", '"{"', "[1]", '"x"', None]
+    rows = [(f"r{i}", "s", "event", "usage", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows + rows[:2], "record_id string, run_id string, record string, name string, attributes string").write.parquet(f"{tmp_path}/runlog.parquet")
+    got = [tuple(r) for r in catalog.QUERIES["usage_by_operation_all"](spark, str(tmp_path)).collect()]
+    assert got == [("op", 543_215, 1)]
+    con = duckdb.connect()
+    con.execute(f"create view runlog as select * from '{tmp_path}/runlog.parquet/*.parquet'")
+    assert con.execute(catalog.ORACLE["usage_by_operation_all"]).fetchall() == got
+
+
 def test_nearest_matches_brute_force(spark):
     import random
 
