@@ -601,6 +601,12 @@ def redacted_attributes(spark, d):
     return evidence.with_python(log, "record_id", "attributes", lambda t: evidence.redacted(t)[0], "string", "attributes_safe")
 
 
+@query()
+def redacted_blobs(spark, d):
+    """The long strings that the references in `redacted_attributes` name, by digest."""
+    return evidence.blobs(source_text.once(table(spark, d, "runlog").select("record_id", "attributes"), "record_id"), "attributes")
+
+
 @query(
     f"SELECT finding_id, regexp_matches(lower(coalesce(reasoning, '')), 'race') AS race FROM {FIND} WHERE NOT regexp_matches(lower(coalesce(reasoning, '')), 'not |no |never |without')"
 )
