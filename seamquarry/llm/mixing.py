@@ -44,8 +44,10 @@ def share_out(amount: float, weights: list[float], room: list[float]) -> list[fl
     return got
 
 
-def budgets(leaves: list[tuple[str, str | None, int]], targets: dict[str, tuple[float, int]], total: float | None = None) -> dict[tuple[str, str | None], float]:
-    """Tokens to take of each (source, language). Without a total: the most at which every source reaches its share exactly."""
+def budgets(leaves: list[tuple[str, str | None, int]], targets: dict[str, tuple[float, int]], total: float | None = None, stretch: float = 0.0) -> dict[tuple[str, str | None], float]:
+    """Tokens to take of each (source, language). Without a total: the most at which every source reaches its share exactly,
+    and of what the sources could give beyond that the part `stretch` (0 to 1), where the scarce ones hand on their budgets.
+    """
     by: dict[str, list[tuple[str | None, int]]] = {}
     for s, lang, n in leaves:
         if s in targets and n > 0:
@@ -55,6 +57,7 @@ def budgets(leaves: list[tuple[str, str | None, int]], targets: dict[str, tuple[
     weights = [targets[s][0] for s in sources]
     if total is None:
         total = min((r * sum(weights) / w for r, w in zip(room, weights)), default=0.0)
+        total += stretch * (sum(room) - total)
     out = {}
     for s, amount in zip(sources, share_out(total, weights, room)):
         langs = sorted(by[s], key=lambda x: (x[0] is not None, x[0] or ""))
@@ -63,7 +66,7 @@ def budgets(leaves: list[tuple[str, str | None, int]], targets: dict[str, tuple[
     return out
 
 
-def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, vocabulary: str = VOCABULARY) -> DataFrame:
+def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, vocabulary: str = VOCABULARY, stretch: float = 0.0) -> DataFrame:
     """doc_id, source, lang, tokens, copies: how often each drawn document is used.
 
     A document of a source without a target, or with a null source, or without tokens, is not drawn. A source without documents is left
@@ -75,7 +78,7 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, total: fl
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").collect()}
     leaves = [tuple(r) for r in sized.where(F.col("source").isin(*want)).groupBy("source", "lang").agg(F.sum("tokens")).collect()]
     size = {(s, lang): n for s, lang, n in leaves}
-    plan = [(s, lang, int(b // size[s, lang]), float(b - b // size[s, lang] * size[s, lang])) for (s, lang), b in budgets(leaves, want, total).items()]
+    plan = [(s, lang, int(b // size[s, lang]), float(b - b // size[s, lang] * size[s, lang])) for (s, lang), b in budgets(leaves, want, total, stretch).items()]
     plan_df = spark.createDataFrame(plan, "source string, lang string, epochs int, rest double")
     on = (F.col("d.source") == F.col("p.source")) & F.col("d.lang").eqNullSafe(F.col("p.lang"))
     drawn = sized.alias("d").join(plan_df.alias("p"), on).select("d.*", "epochs", "rest")

@@ -97,6 +97,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p9_mix_stretched(spark: SparkSession, d: str) -> DataFrame:
+    """As p9_mix, with a total half-way from the most the scarcest source allows to all that the sources can give."""
+    return mixing.mix(spark, table(spark, d, "documents"), table(spark, d, "mix_targets"), stretch=0.5)
+
+
+def p9_shares_stretched(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p9_mix_stretched(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.damaged_documents(spark, table(spark, d, "documents"))
 
@@ -106,7 +115,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p1_found, p1_rates, p1_graph_agreement, p3_found, p3_classes, p4_found, p4_scores, p5_found, p5_pieces, p6_found, p6_counts, p8_packed, p8_fill, p9_mix, p9_shares, p10_found, p10_restored]
+    every = [p1_found, p1_rates, p1_graph_agreement, p3_found, p3_classes, p4_found, p4_scores, p5_found, p5_pieces, p6_found, p6_counts, p8_packed, p8_fill, p9_mix, p9_shares, p9_mix_stretched, p9_shares_stretched, p10_found, p10_restored]
     return {f.__name__: f for f in every}
 
 

@@ -114,3 +114,17 @@ def test_foreign_files(spark):
 def test_banners_and_top_comments_are_masked():
     a, b = "// Code generated by x. DO NOT EDIT.\nint a;\n", "int a;\n"
     assert bytes(H._bytes(a).astype("uint8")) == bytes(H._bytes(b).astype("uint8"))
+
+
+def test_stretched_mix_hands_on_what_scarce_sources_lack(spark, tmp_path):
+    from seamquarry.llm import queries
+
+    leaves = [("a", "x", 100), ("b", "x", 1000), ("c", "x", 3000)]
+    targets = {"a": (0.5, 1), "b": (0.25, 1), "c": (0.25, 1)}
+    got = M.budgets(leaves, targets, stretch=0.5)  # 200 at most by share, 4100 at all: 2150, of which a can give 100 and b 1000
+    assert [round(got[s, "x"]) for s in "abc"] == [100, 1000, 1050] and sum(M.budgets(leaves, targets).values()) == 200
+    docs = [(i, "a" if i < 5 else "b", "en", "some words here") for i in range(100)]
+    spark.createDataFrame(docs, "doc_id bigint, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    share = {r.source: r for r in queries.queries()["p9_shares_stretched"](spark, str(tmp_path)).collect()}
+    assert share["a"].documents == 5 and share["a"].actual_share < 0.2 and 45 <= share["b"].documents <= 60
