@@ -102,22 +102,33 @@ def cut(text: str, limit: int, overlap: int, markdown: bool) -> list[tuple[int,
         return [(0, 0, len(text))]
     overlap = max(0, min(overlap, (limit - 1) // 2))
     room = limit - overlap
-    units: list[int] = []
-    todo = list(reversed(_tree(text, markdown)))
+    units: list[tuple[int, bool]] = []  # end, and whether a piece has to end there: beside a subtree that is too long for one
+    todo = [(*n, False) for n in reversed(_tree(text, markdown))]
     while todo:
-        a, b, kids = todo.pop()
+        a, b, kids, own = todo.pop()
+        if kids is None:  # the end of a subtree
+            units[-1] = (b, True)
+            continue
         if b - a <= room:
-            units.append(b)
-        elif kids:
-            todo += reversed(kids)
+            units.append((b, False))
+            continue
+        if units and not own:
+            units[-1] = (a, True)
+        if kids:  # the node's own line stays with what it heads
+            todo.append((b, b, None, False))
+            todo += [(*k, i == 1) for i, k in reversed(list(enumerate(kids)))]
         else:
-            units += _cut_line(text, a, b, room)
+            units += [(x, False) for x in _cut_line(text, a, b, room)]
+            units[-1] = (b, True)
     pieces, body, last = [], 0, 0
-    for end in units:
+    for end, close in units:
         if end - body > (room if pieces else limit):
             pieces.append((max(0, body - overlap) if pieces else 0, body, last))
             body = last
         last = end
+        if close and body < end < len(text):
+            pieces.append((max(0, body - overlap) if pieces else 0, body, end))
+            body = end
     pieces.append((max(0, body - overlap) if pieces else 0, body, last))
     return pieces
 

@@ -32,6 +32,14 @@ def test_cuts_fall_on_structure():
         P.cut("abc", 0, 0, True)
 
 
+def test_short_sections_keep_out_of_oversized_ones():
+    long = "".join(f"para {i} " + "word " * 12 + "\n\n" for i in range(12))
+    text = "# short one\n\nfew words\n\n# long\n\n" + long + "# short two\n\nfew words\n\n# short three\n\nend\n"
+    bodies = [text[b:e] for _, b, e in P.cut(text, 300, 0, True)]
+    assert bodies[0] == text[: text.index("# long")] and bodies[1].startswith("# long\n\npara 0")
+    assert bodies[-1] == text[text.index("# short two") :] and all(x.startswith(("#", "para")) for x in bodies) and "".join(bodies) == text
+
+
 def test_split_items(spark):
     rows = [("k", 1, "ab " * 50, 40, 5, False, "x"), ("k", 1, "ab " * 50, 40, 5, False, "y"), ("k", 2, None, 40, 5, False, "x"), ("k", 3, "", 40, 5, False, "x"), ("k", 4, "é" * 40, 40, 5, False, "x"), ("k", 5, "é" * 41, 40, None, True, "x"), ("k", 6, "a" * 99, None, 5, True, "x"), ("k", None, "a" * 99, 9, 5, True, "x")]
     df = spark.createDataFrame(rows, "item_kind string, item_id bigint, text string, max_chars int, overlap_chars int, markdown boolean, whole string")
