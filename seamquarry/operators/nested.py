@@ -1,8 +1,8 @@
 """Deeply nested JSON to related flat tables, in one pass.
 
 A depth-first visitor walks each value once and emits tagged rows: the table's tag, the object's own key (record key and
-path), its parent's key, and the scalar fields as payload. Rows are written partitioned by tag and read back with the
-schema of that tag.
+path), its parent's key, and the scalar fields as payload. `write_tables` writes them partitioned by tag; `read_table` reads
+one tag's table back with typed columns, by the schema of all rows of that tag.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ import sys
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 TAGGED = "origin string, record_key string, tag string, path string, parent_path string, in_array boolean, payload string"
 BOM = "\ufeff"
@@ -117,3 +118,51 @@ def array_elements(texts: DataFrame) -> DataFrame:
     """
     may = F.col("text").contains("[") | F.lower("text").contains("\\u005b")
     return texts.where(may).select("origin", "record_key", "text").mapInPandas(emit_elements, "origin string, record_key string, child_path string").distinct()
+
+
+def _part(tag: Column) -> Column:
+    """The partition of a tag; its hash, as tags may be empty, long or different in case only."""
+    return F.concat(F.lit("t"), F.md5(tag))
+
+
+def write_tables(tagged: DataFrame, path: str) -> None:
+    """TAGGED rows to Parquet files, partitioned by tag."""
+    tagged.withColumn("part", _part(F.col("tag"))).write.partitionBy("part").parquet(path)
+
+
+def schemas(tagged: DataFrame) -> DataFrame:
+    """tag, field, type: each field of each tag with the one type that holds its values in all rows; fields of mixed types or only nulls are strings."""
+    v = tagged.select("tag", F.try_parse_json("payload").alias("v"))
+    fields = v.lateralJoin(tagged.sparkSession.tvf.variant_explode(F.col("v").outer())).select("tag", F.col("key").alias("field"), "value")
+    kind = F.lower(F.schema_of_variant_agg("value"))
+    return fields.groupBy("tag", "field").agg(F.regexp_replace(kind, "variant|void", "string").alias("type"))
+
+
+def _rows(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    return spark.read.parquet(path).where((F.col("part") == _part(F.lit(tag))) & (F.col("tag") == tag))
+
+
+def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """origin, record_key, path, parent_path, in_array and the fields of one tag, typed; a name that is taken, whatever its case, gets a number.
+
+    Arrays of scalars are array columns; `read_array` has them as rows.
+    """
+    rows = _rows(spark, path, tag)
+    keys = ["origin", "record_key", "path", "parent_path", "in_array"]
+    taken, source, named = set(keys), [], []
+    for field, kind in sorted((r.field, r.type) for r in schemas(rows).collect()):
+        name, n = field, 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{field}_{n}"
+        taken.add(name.lower())
+        source.append(StructField(field, DataType.fromDDL(kind)))
+        named.append(StructField(name, DataType.fromDDL(kind)))
+    if not source:
+        return rows.select(*keys)
+    return rows.select(*keys, F.from_json("payload", StructType(source)).cast(StructType(named)).alias("fields")).select(*keys, "fields.*")
+
+
+def read_array(spark: SparkSession, path: str, tag: str, column: str) -> DataFrame:
+    """origin, record_key, path, position, value: the elements of one array column of a tag's table, from position 0."""
+    return read_table(spark, path, tag).select("origin", "record_key", "path", F.posexplode(F.col("`" + column.replace("`", "``") + "`")).alias("position", "value"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import hierarchy, nested
-from ..session import table
+from ..session import shared_dir, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +30,14 @@ def p7_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(nested.json_texts(table(spark, d, "sarif_reports"), table(spark, d, "runlog")))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p7_found, p7_tables)}
+def p7_schemas(spark: SparkSession, d: str) -> DataFrame:
+    """The typed columns of every tag's table, over the tables as written."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    nested.write_tables(p7_tables(spark, d), path)
+    return nested.schemas(spark.read.parquet(path))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p7_found, p7_tables, p7_schemas)}
 
 _SPANS = """
 WITH RECURSIVE e AS (SELECT DISTINCT run_id, span_id, parent_span_id AS parent FROM runlog

@@ -1,4 +1,5 @@
 import json
+import os
 
 from seamquarry.operators import nested as N
 
@@ -47,3 +48,20 @@ def test_long_numbers_and_depth(spark):
     df = spark.createDataFrame([("x", "1", '[{"n": ' + "9" * 6000 + "}]"), ("x", "2", deep)], "origin string, record_key string, text string")
     assert [(r.record_key, r.child_path) for r in N.array_elements(df).collect()] == [("1", "[0]")]
     assert N.array_elements(df.limit(0)).count() == 0
+
+
+def test_typed_tables_by_tag(spark, tmp_path):
+    docs = [{"n": 1, "s": "a", "mix": 1, "Id": 1, "id": 2, "path": "p", "none": None, "items": [{"x": 1.5, "tags": ["u", "v"]}, {"x": 2}]}, {"n": 2**40, "mix": "m", "items": []}, {"n": None}]
+    df = spark.createDataFrame([("o", str(i), json.dumps(x)) for i, x in enumerate(docs)] + [("o", "9", "{")], "origin string, record_key string, text string")
+    at = f"{tmp_path}/tables"
+    N.write_tables(N.flatten(df), at)
+    assert len([x for x in os.listdir(at) if x.startswith("part=")]) == 3  # the top objects, the items, the broken text
+    top = N.read_table(spark, at, "")
+    kinds = dict(top.dtypes)
+    assert (kinds["n"], kinds["s"], kinds["mix"], kinds["none"], kinds["Id"], kinds["id_2"], kinds["path_2"]) == ("bigint", "string", "string", "string", "bigint", "bigint", "string")
+    got = {r.record_key: r for r in top.collect()}
+    assert [got[k].n for k in "012"] == [1, 2**40, None] and [got[k].mix for k in "012"] == ["1", "m", None] and (got["0"].Id, got["0"].id_2, got["0"].path_2) == (1, 2, "p")
+    items = N.read_table(spark, at, "items[]")
+    assert {(r.record_key, r.path, r.parent_path, float(r.x)) for r in items.collect()} == {("0", "items[0]", "", 1.5), ("0", "items[1]", "", 2.0)}
+    assert dict(items.dtypes)["tags"] == "array<string>" and {(r.path, r.position, r.value) for r in N.read_array(spark, at, "items[]", "tags").collect()} == {("items[0]", 0, "u"), ("items[0]", 1, "v")}
+    assert N.read_table(spark, at, "#broken").columns == ["origin", "record_key", "path", "parent_path", "in_array"] and N.read_table(spark, at, "nowhere").count() == 0
