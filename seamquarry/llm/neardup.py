@@ -3,9 +3,13 @@
 Two word sets with Jaccard similarity t or more differ in at most H = (1-t)/(1+t) * (|x|+|y|) words, the Hamming distance of
 their word vectors. Three steps, none of which loses a pair:
 
-1. First box. With all words in one order, the rarest first, similar sets share a word among the first |x| - ceil(t|x|) + 1
-   of each. Each record emits these as keys; where such a word is frequent, combinations of it with further words take its
-   place (similar sets share k words among their first p + k - 1), so no key is held by many records that aren't alike.
+1. First box. The words are in one order, the rarest first, and a word in more than HOT records is frequent. Similar sets
+   that share a rare word have the first such word within the first |x| - ceil(t|x|) + 1 of each, so these words are keys.
+   Sets that share none have spent both sides' rare words of the budget H. What is left, the words of x that y may lack and
+   those of y that x may lack, is below zero for most records and sizes of partner, and a few words for the others. Their
+   frequent words are dealt into so many boxes and one more: in one box at least the sets agree in full, so each box is a
+   key. Where that would join too many, k boxes more are dealt and k together make a key. Both sides take the boxes of each
+   cell (size class and budget level of the one, of the other) in which the whole table has records on the other side.
 2. Ring. The word vector is folded into SEGMENTS segments of parity bits. If the segments together differ in at most H
    bits, there is a segment from which on every chain of l consecutive segments differs in at most l * H / SEGMENTS bits.
    Candidates without such a start are pruned, chain by chain.
@@ -16,24 +20,33 @@ each input batch and bucket, and meet inside a bucket by sorting; the number of
 """
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import Scratch
 
-#: Bins of the word counts that are sent to the workers: two megabytes at any size of the corpus.
-BINS = 1 << 18
+#: Bins of the word counts, one byte each: 32 for each record, at least and at most so many bits of them (64 MB at the most).
+LEAST_BITS, MOST_BITS = 18, 26
 #: A word in more records than this is no key by itself.
-HOT = 256
+HOT = 128
+#: Keys of one record for one cell at most, where more boxes to a key would not pay.
+MOST_KEYS = 256
 #: Segments of the ring, of 16 parity bits each.
 SEGMENTS = 8
 #: Records in one join partition; the number of partitions follows the number of records.
 RECORDS_A_BUCKET = 25_000
+#: Sizes of one class differ by less than this factor.
+CLASS = 1.06
+#: Records of a class that may share their members' pairs in one task.
+SHARD = 2_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -50,109 +63,186 @@ def words(*columns: str):
     return F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9_]+"), 0))
 
 
-def _flat(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """All values in one array, and the length of each list."""
-    lists = [np.asarray(x, dtype=np.int64) for x in series]
-    return (np.concatenate(lists) if lists else np.empty(0, np.int64)).view(np.uint64), np.array([len(x) for x in lists], np.int64)
+def _scaled(count):
+    """A count on a scale of eighths of its logarithm, one byte: 0 for 0, 8 for 1; the same order as the counts themselves."""
+    return np.minimum(255, np.round(8 * np.log2(np.asarray(count, float) + 1))).astype(np.uint8)
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(BINS, np.int64)
-    for b in batches:
-        flat, _ = _flat(b["ws"])
-        total += np.bincount(_bin(_mix(flat)), minlength=BINS)
-    parts = total.reshape(-1, 4096)
-    yield pd.DataFrame({"part": np.arange(len(parts)), "counts": [x.tobytes() for x in parts]})
+def _pack_counts(b: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(4096, np.uint8)
+    out[b["bin"].to_numpy() & 4095] = _scaled(b["n"].to_numpy())
+    return pd.DataFrame({"part": [int(b["bin"].iloc[0]) >> 12], "counts": [out.tobytes()]})
 
 
-def _sum_counts(b: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"part": b["part"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in b["counts"]).tobytes()]})
+def word_bins(numbers: DataFrame, n: int) -> np.ndarray:
+    """In how many records the words of each bin occur, scaled to a byte. Every record counts; sums are partial before the shuffle."""
+    bits = max(LEAST_BITS, min(MOST_BITS, math.ceil(math.log2(32 * max(n, 1)))))
+    counted = numbers.select(F.explode("ws").alias("w")).groupBy(F.shiftrightunsigned("w", 64 - bits).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    packed = counted.groupBy(F.shiftright("bin", 12).alias("part")).applyInPandas(_pack_counts, "part int, counts binary")
+    bins = np.zeros(1 << bits, np.uint8)
+    for r in packed.toLocalIterator():
+        bins[r.part << 12 : (r.part + 1) << 12] = np.frombuffer(bytes(r.counts), np.uint8)
+    return bins
 
 
-def _bin(mixed: np.ndarray) -> np.ndarray:
-    return (mixed >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+def _bin(word: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    return (word >> np.uint64(64 - (len(bins).bit_length() - 1))).astype(np.int64)
 
 
-def word_bins(numbers: DataFrame) -> np.ndarray:
-    """In how many records the words of each bin occur. Every record counts; only BINS sums reach the driver."""
-    counted = numbers.select("ws").mapInPandas(_count_words, "part int, counts binary").groupBy("part").applyInPandas(_sum_counts, "part int, counts binary")
-    bins = np.zeros(BINS, np.int64)
-    for r in counted.collect():
-        bins[r.part * 4096 : (r.part + 1) * 4096] = np.frombuffer(bytes(r.counts), np.int64)
-    return bins
+def size_class(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log(np.maximum(size, 1)) / math.log(CLASS) + 1e-9).astype(np.int64)
 
 
-def prefix_length(size: int, t: float) -> int:
-    return size - math.ceil(t * size - 1e-9) + 1
+def _low(cls: np.ndarray) -> np.ndarray:
+    """No size of a class is less."""
+    return np.floor(CLASS**cls + 1e-6).astype(np.int64)
 
 
-def _combine(word: list[int], share: list[float], size: int, t: float, n: int, out: list[int]) -> None:
-    """Keys of several words for a record whose prefix holds frequent ones: word and share are its frequent words, in order, numbered by place.
+def _overlap(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Words that sets of these sizes share at least, if they are similar."""
+    return np.ceil(t / (1 + t) * (a + b) - 1e-9).astype(np.int64)
 
-    Two similar records share k words among their first p + k - 1, so where one word is too frequent, two or more do. Records
-    of different size end at different k, so each also has the keys of every k at which a smaller similar record may end:
-    the pair meets at the end of its smaller one.
-    """
-    p, first = prefix_length(size, t), size - len(word)
-    end = size - p + 1
-    least = end - prefix_length(end, t) + 1  # end is also the size of the smallest similar record
-    todo = [((), 1.0, first)]
-    while todo:
-        chosen, expected, at = todo.pop()
-        k = len(chosen)
-        stop = k and expected * n <= HOT or k >= end
-        if k and (stop or k >= least):
-            acc = k * 0x9E3779B97F4A7C15
-            for x in chosen:
-                acc = (acc * 0xC2B2AE3D27D4EB4F + x) & 0xFFFFFFFFFFFFFFFF
-            out.append(acc)
-        if stop:
-            continue
-        for j in range(at, min(p + k, size)):
-            todo.append(((*chosen, word[j - first]), expected * (share[j - first] ** (0.5 if k else 1.0)), j + 1))
-
-
-def _keys(bins: np.ndarray, n: int, t: float, n_buckets: int):
-    """A function for mapInPandas: (cid, ws) batches to rows of packed keys, one for each bucket."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def partners(size: np.ndarray, rare: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(record, own class, partner's class, budget) for each class of sizes in which a record that shares no rare word could have a partner."""
+    first, last = size_class(np.ceil(t * size - 1e-9)), size_class(np.floor(size / t + 1e-9))
+    many = last - first + 1
+    rec = np.repeat(np.arange(len(size)), many)
+    other = np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(rec))
+    least = np.maximum(_low(other), np.ceil(t * size[rec] - 1e-9).astype(np.int64))
+    budget = size[rec] - rare[rec] - _overlap(size[rec], least, t)
+    some = budget >= 0
+    rec, other, budget = rec[some], other[some], budget[some]
+    return rec, size_class(size[rec]), other, level(budget)
+
+
+def level(budget: np.ndarray) -> np.ndarray:
+    """A budget as it is up to 4, then rounded up to 6, 8, 12, 16, 24 ..., so that few levels occur."""
+    half = 1 << np.maximum(np.floor(np.log2(np.maximum(budget - 1, 1))).astype(np.int64) - 1, 0)
+    return np.where(budget <= 4, budget, -(-budget // half) * half)
+
+
+PACKED = "cids binary, sizes binary, rares binary, sketches binary, plain binary, owners binary, frequent binary, budgets array<struct<own:int,other:int,level:int,n:int>>"
+
+
+def _features(bins: np.ndarray, t: float, hot: int):
+    """A function for mapInArrow: (cid, ws) batches to one packed row each."""
+    warm, single = int(_scaled(hot)), int(_scaled(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b[b["ws"].map(len) > 0]
-            if not len(b):
+            if not b.num_rows:
                 continue
-            flat, size = _flat(b["ws"])
+            lists = b.column("ws")
+            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            flat = lists.flatten().to_numpy().view(np.uint64)
+            c = bins[_bin(flat, bins)]
             flat = _mix(flat)
-            count = bins[_bin(flat)]
             rec = np.repeat(np.arange(len(size)), size)
             place = _mix(flat + np.uint64(1))
-            sketch = np.zeros((len(size), SEGMENTS), np.uint16)
-            np.bitwise_xor.at(sketch, (rec, (place >> np.uint64(61)).astype(np.int64)), np.uint16(1) << ((place >> np.uint64(40)) & np.uint64(15)).astype(np.uint16))
-            order = np.lexsort((flat, count, rec))  # the rarest words first
-            f, c, r = flat[order], count[order], rec[order]
+            segment = rec * SEGMENTS + (place >> np.uint64(61)).astype(np.int64)
+            sketch = np.zeros((len(size) * SEGMENTS, 16), np.uint8)
+            np.add.at(sketch.reshape(-1), segment * 16 + ((place >> np.uint64(40)) & np.uint64(15)).astype(np.int64), 1)
+            sketch = np.packbits(sketch & 1, axis=1).view(np.uint16).reshape(-1)
+            # the rarest words first: record, count and the word's leading bits in one number
+            order = np.argsort((rec.astype(np.uint64) << np.uint64(40)) | (c.astype(np.uint64) << np.uint64(32)) | (flat >> np.uint64(32)), kind="stable")
+            f, c = flat[order], c[order]
             start = np.r_[0, np.cumsum(size)[:-1]]
-            pos = np.arange(len(f)) - start[r]
+            pos = np.arange(len(f)) - start[rec]
             p = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-            plain = (pos < p[r]) & (c <= HOT)
-            keys, owner = [f[plain]], [r[plain]]
-            frequent = np.unique(r[(pos < p[r]) & (c > HOT)]).tolist()
-            more, whose = [], []
-            for x in frequent:
-                a, z = int(start[x]), int(start[x] + size[x])
-                a += int(np.searchsorted(c[a:z], HOT, side="right"))
-                before = len(more)
-                _combine(f[a:z].tolist(), (c[a:z] / n).tolist(), int(size[x]), t, n, more)
-                whose += [x] * (len(more) - before)
-            keys.append(_mix(np.array(more, np.uint64)))
-            owner.append(np.array(whose, np.int64))
-            key, own = np.concatenate(keys), np.concatenate(owner)
-            bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-            order = np.lexsort((own, bucket))
-            key, own, bucket = key[order].astype(np.uint32), own[order].astype(np.int32), bucket[order]
-            cid = b["cid"].to_numpy(np.int64)
+            is_rare = c <= warm
+            rare = np.bincount(rec[is_rare], minlength=len(size))
+            plain = is_rare & (pos < p[rec]) & (c > single)  # a word of one record only meets nothing
+            cell, count = np.unique(np.stack(partners(size, rare, t)[1:], 1), axis=0, return_counts=True)
+            row = {
+                "cids": b.column("cid").to_numpy().astype(np.int64).tobytes(), "sizes": size.astype(np.int32).tobytes(), "rares": rare.astype(np.int32).tobytes(), "sketches": sketch.tobytes(),
+                "plain": f[plain].tobytes(), "owners": rec[plain].astype(np.int32).tobytes(), "frequent": f[~is_rare].tobytes(),
+                "budgets": [{"own": x, "other": y, "level": l, "n": k} for (x, y, l), k in zip(cell.tolist(), count.tolist())],
+            }
+            yield pa.RecordBatch.from_pylist([row], _PACKED)
+
+    return run
+
+
+_PACKED = pa.schema([*((k, pa.binary()) for k in "cids sizes rares sketches plain owners frequent".split()), ("budgets", pa.list_(pa.struct([("own", pa.int32()), ("other", pa.int32()), ("level", pa.int32()), ("n", pa.int32())])))])
+
+
+def boxes(word: np.ndarray, many: np.ndarray, rec: np.ndarray, m: int) -> np.ndarray:
+    """For each of the records `rec` its words in m boxes, each box as one number; record r has the next many[r] of `word`."""
+    start = (np.cumsum(many) - many)[rec]
+    at = np.repeat(start - (np.cumsum(many[rec]) - many[rec]), many[rec]) + np.arange(int(many[rec].sum()))
+    w = word[at]
+    cell = np.repeat(np.arange(len(rec)) * m, many[rec]) + ((w >> np.uint64(20)) % np.uint64(m)).astype(np.int64)
+    out = np.zeros(len(rec) * m, np.uint64)
+    if len(cell):
+        order = np.argsort(cell, kind="stable")
+        cell, w = cell[order], _mix(w[order])
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        out[cell[first]] = np.add.reduceat(w, first)
+    return out.reshape(-1, m)
+
+
+def together(crowd: int, words: int, spent: int, hot: int) -> int:
+    """How many boxes make one key: as few as let no more than `hot` of `crowd` records be expected to agree in them by chance.
+
+    Of spent + k boxes, k at least agree. A word is taken to agree by chance in two of three cases; this only decides on costs.
+    """
+    k = 1
+    while crowd * (2 / 3) ** (words * k / (spent + k)) > hot and k < 4 and math.comb(spent + k + 1, k + 1) <= MOST_KEYS:
+        k += 1
+    return k
+
+
+def _seed(*numbers: int) -> int:
+    """One number for a pair of cells."""
+    out = 0
+    for x in numbers:
+        out = (out * 1_000_003 + x + 1) & 0xFFFFFFFFFFFFFFFF
+    return out
+
+
+def _keys(crowds: dict[tuple[int, int, int], int], t: float, n_buckets: int, hot: int):
+    """A function for mapInPandas: packed rows to rows of packed keys, one for each bucket."""
+    facing: dict[tuple[int, int], dict[int, int]] = {}
+    for (own, other, lv), c in crowds.items():
+        facing.setdefault((own, other), {})[lv] = c
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
             rows = []
-            for x, a, z in zip(*_runs(bucket)):
-                who, local = np.unique(own[a:z], return_inverse=True)
-                rows.append((int(x), key[a:z].tobytes(), local.astype(np.int32).tobytes(), cid[who].tobytes(), sketch[who].tobytes(), size[who].astype(np.int32).tobytes()))
+            for r in b.itertuples():
+                size, rare = np.frombuffer(r.sizes, np.int32).astype(np.int64), np.frombuffer(r.rares, np.int32).astype(np.int64)
+                word, many = np.frombuffer(r.frequent, np.uint64), size - rare
+                rec, own, other, lv = partners(size, rare, t)
+                keys, owners, made = [np.frombuffer(r.plain, np.uint64)], [np.frombuffer(r.owners, np.int32)], {}
+                order = np.lexsort((lv, other, own))
+                rec, cell = rec[order], np.stack([own, other, lv], 1)[order]
+                cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)]) if len(cell) else []
+                for a, z in zip(cuts, [*cuts[1:], len(cell)]):
+                    x, y, mine = map(int, cell[a])
+                    for theirs, n in facing.get((y, x), {}).items():  # only levels at which the other class has records
+                        spent = mine + theirs
+                        side = [(x, mine), (y, theirs)] if (x, mine) <= (y, theirs) else [(y, theirs), (x, mine)]
+                        k = together(min(n, facing[x, y][mine]), int(_overlap(_low(np.int64(x)), _low(np.int64(y)), t)), spent, hot)
+                        made.setdefault((spent + k, k), []).append((rec[a:z], _seed(*side[0], *side[1])))
+                for (m, k), wanted in made.items():
+                    who, seed = np.concatenate([w for w, _ in wanted]), np.repeat(np.array([x for _, x in wanted], np.uint64), [len(w) for w, _ in wanted])
+                    once, again = np.unique(who, return_inverse=True)
+                    box = boxes(word, many, once, m)[again]
+                    some = np.array(list(itertools.combinations(range(m), k)))
+                    acc = np.broadcast_to(seed[:, None], (len(who), len(some)))
+                    for i in range(k):
+                        acc = _mix(acc + box[:, some[:, i]] + some[:, i].astype(np.uint64))
+                    keys.append(acc.reshape(-1))
+                    owners.append(np.repeat(who, len(some)).astype(np.int32))
+                key, holder = np.concatenate(keys), np.concatenate(owners)
+                bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                key, holder, bucket = key[order].astype(np.uint32), holder[order].astype(np.int32), bucket[order]
+                cid, sketch = np.frombuffer(r.cids, np.int64), np.frombuffer(r.sketches, np.uint16).reshape(-1, SEGMENTS)
+                for x, a, z in zip(*_runs(bucket)):
+                    who, local = np.unique(holder[a:z], return_inverse=True)
+                    rows.append((int(x), key[a:z].tobytes(), local.astype(np.int32).tobytes(), cid[who].tobytes(), sketch[who].tobytes(), size[who].astype(np.int32).tobytes()))
             yield pd.DataFrame(rows, columns=["bucket", "keys", "owners", "cids", "sketches", "sizes"])
 
     return run
@@ -216,7 +306,7 @@ def _meet(t: float):
     return run
 
 
-def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[str], t: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[str], t: float = 0.75, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members(class_id, id) puts each record into the class of its word set, named by its least id;
     pairs(class_a, class_b, shared, size_a, size_b) has each pair of classes of similarity t or more, smaller id first.
 
@@ -228,17 +318,22 @@ def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[
     tmp = Scratch(spark)
     text = F.array_join(F.sort_array(words(*columns)), " ")
     rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), text.alias("text")).select("id", "text", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"))
+    rows = tmp.write(rows)  # tokenised once: both the classes and their members come from here
     sets = tmp.write(rows.groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.first("text").alias("text")))
     n_words = F.when(F.col("text") == "", 0).otherwise(F.size(F.split("text", " "))).alias("n_words")
-    members = rows.select("id", "h1", "h2").distinct().join(sets.select("h1", "h2", F.col("cid").alias("class_id"), n_words), ["h1", "h2"])
+    members = tmp.write(rows.select("id", "h1", "h2").distinct().join(sets.select("h1", "h2", F.col("cid").alias("class_id"), n_words), ["h1", "h2"]).select("class_id", "id", "n_words"))
+    tmp.drop(rows)
     sets = sets.where("text <> ''").select("cid", "text")
     number = lambda d: d.select("cid", F.transform(F.split("text", " "), lambda x: F.xxhash64(x)).alias("ws"))
-    numbers = number(sets)  # made again where it is read: hashes don't compress, words do
     n = sets.count()
-    bins = word_bins(numbers)
+    bins = word_bins(number(sets), n)
+    features = tmp.write(number(sets).mapInArrow(_features(bins, t, hot), PACKED))
+    crowds = features.select(F.explode("budgets").alias("x")).groupBy("x.own", "x.other", "x.level").agg(F.sum("x.n").alias("n")).collect()  # a row for each pair of size classes
     n_buckets = max(16, math.ceil(n / RECORDS_A_BUCKET))
-    packed = numbers.mapInPandas(_keys(bins, n, t, n_buckets), "bucket int, keys binary, owners binary, cids binary, sketches binary, sizes binary")
+    keys = _keys({(r.own, r.other, r.level): r.n for r in crowds}, t, n_buckets, hot)
+    packed = features.drop("budgets").mapInPandas(keys, "bucket int, keys binary, owners binary, cids binary, sketches binary, sizes binary")
     candidates = tmp.write(packed.groupBy("bucket").applyInPandas(_meet(t), "a bigint, b bigint").distinct())
+    tmp.drop(features)
     met = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     needed = tmp.write(number(sets.join(met, "cid", "left_semi")))
     left, right = needed.select(F.col("cid").alias("a"), F.col("ws").alias("wa")), needed.select(F.col("cid").alias("b"), F.col("ws").alias("wb"))
@@ -246,13 +341,31 @@ def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[
     shared = F.size(F.array_intersect("wa", "wb"))
     exact = both.select("a", "b", shared.alias("shared"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b"))
     exact = exact.where(F.col("shared") >= F.lit(t) * (F.col("size_a") + F.col("size_b") - F.col("shared")) - F.lit(1e-9))
-    return members.select("class_id", "id", "n_words"), exact.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "size_a", "size_b")
+    return members, exact.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "size_a", "size_b")
 
 
-def record_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b: each pair of distinct records of one class or of two paired classes, smaller id first."""
+def record_pairs(members: DataFrame, pairs: DataFrame, shard: int = SHARD) -> DataFrame:
+    """a, b: each pair of distinct records of one class or of two paired classes, smaller id first.
+
+    The records of a large class are spread over shards of about `shard` each, so no task holds all the pairs of one class.
+    """
     full = members.where("n_words > 0")
-    links = pairs.select("class_a", "class_b").unionByName(full.groupBy("class_id").count().where("count > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")))
-    a, b = full.select(F.col("class_id").alias("class_a"), F.col("id").alias("x")), full.select(F.col("class_id").alias("class_b"), F.col("id").alias("y"))
-    both = links.join(a, "class_a").join(b, "class_b").where((F.col("class_a") != F.col("class_b")) | (F.col("x") < F.col("y")))
+    sizes = full.groupBy("class_id").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
+    placed = full.join(sizes.where("shards > 1"), "class_id", "left").select("class_id", "id", F.pmod(F.xxhash64("id"), F.coalesce("shards", F.lit(1))).cast("int").alias("shard"))
+    links = pairs.select("class_a", "class_b").unionByName(sizes.where("n > 1").select(F.col("class_id").alias("class_a"), F.col("class_id").alias("class_b")))
+    for side in ("a", "b"):
+        count = sizes.select(F.col("class_id").alias(f"class_{side}"), F.col("shards").alias("k"))
+        links = links.join(count, f"class_{side}").withColumn(f"shard_{side}", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).drop("k")
+    a = placed.select(F.col("class_id").alias("class_a"), F.col("shard").alias("shard_a"), F.col("id").alias("x"))
+    b = placed.select(F.col("class_id").alias("class_b"), F.col("shard").alias("shard_b"), F.col("id").alias("y"))
+    both = links.join(a, ["class_a", "shard_a"]).join(b, ["class_b", "shard_b"]).where((F.col("class_a") != F.col("class_b")) | (F.col("x") < F.col("y")))
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def groups(spark: SparkSession, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, class_id, links, group_id: each record with its class, the number of classes near it, and the least class id that near pairs lead to."""
+    near = pairs.select("class_a", "class_b")
+    both = near.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    lead = components(spark, members.select(F.col("class_id").alias("id")), near.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    out = members.join(both, "class_id", "left").join(lead.select(F.col("id").alias("class_id"), F.col("component").alias("group_id")), "class_id")
+    return out.select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"), "group_id")

@@ -51,10 +51,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Each finding with its class of equal word sets and the number of classes that are near it."""
+    """Each finding with its class of equal word sets, the number of classes that are near it, and the group that near classes join up to."""
     members, pairs = neardup.near_pairs(spark, table(spark, d, "review_findings"), "finding_id", TEXTS)
-    both = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    return members.join(both, "class_id", "left").select(F.col("id").alias("finding_id"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return neardup.groups(spark, members, pairs).withColumnRenamed("id", "finding_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from seamquarry.llm import neardup as D
@@ -38,82 +39,72 @@ def corpus(seed):
     return rows + rows[:25]
 
 
-@pytest.mark.parametrize("hot,t", [(256, 0.75), (2, 0.75), (2, 0.8)])
-def test_pairs_match_brute_force(spark, monkeypatch, hot, t):
+@pytest.mark.parametrize("hot,t", [(128, 0.75), (2, 0.75), (2, 0.8), (0, 0.75)])
+def test_pairs_match_brute_force(spark, hot, t):
     rows = corpus(hot)
-    keys = D._keys
-    monkeypatch.setattr(D, "HOT", hot)
-
-    def with_hot(*a):  # the workers import the module anew, so the bound travels with the function
-        run = keys(*a)
-
-        def go(batches):
-            D.HOT = hot
-            return run(batches)
-
-        return go
-
-    monkeypatch.setattr(D, "_keys", with_hot)
-    m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS, t)
+    m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS, t, hot)
     got = [tuple(r) for r in D.record_pairs(m, p).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows, t)
 
 
-def test_frequent_words_as_combinations(spark):
+@pytest.mark.parametrize("hot", [0, 128])
+def test_frequent_words_only(spark, hot):
     # every word is in a third of all rows or more, but few rows are alike
     rng = random.Random(2)
     ws = [f"c{i}" for i in range(9)]
-    rows = [(i, " ".join(sorted(rng.sample(ws, rng.randrange(4, 9)))), None, None, "") for i in range(120)]
-    n, out = 120, []
-    D._combine([1, 2, 3, 4], [0.9, 0.9, 0.9, 0.9], 4, 0.75, 10**9, out)
-    assert len(out) == 4  # all sets of three of four words: similar sets share that many
-    m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS)
-    assert {tuple(r) for r in D.record_pairs(m, p).collect()} == brute(rows, 0.75) and n
-
-
-@pytest.mark.parametrize("size,n,share", [(4, 15_000, 0.2), (4, 150_000, 0.05), (8, 150_000, 0.2), (14, 150_000, 0.5)])
-def test_combinations_of_different_sizes_meet(size, n, share):
-    a, b = [], []
-    D._combine(list(range(1, size + 1)), [share] * size, size, 0.75, n, a)
-    D._combine(list(range(1, size + 2)), [share] * (size + 1), size + 1, 0.75, n, b)
-    assert set(a) & set(b)
+    rows = [(i, " ".join(sorted(rng.sample(ws, rng.randrange(3, 9)))), None, None, "") for i in range(120)]
+    m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS, 0.75, hot)
+    assert {tuple(r) for r in D.record_pairs(m, p).collect()} == brute(rows, 0.75)
 
 
-@pytest.mark.parametrize("t", [0.5, 0.75, 0.8])
-def test_similar_sets_share_a_combination(t):
+def _run(sets, t, hot, grown):
+    """The keys of each set, as if the table had `grown` times as many records."""
+    number = lambda s: np.array([hash((x, 7)) for x in sorted(s)], np.int64)
+    ws = [number(s) for s in sets]
+    bins = np.zeros(1 << 18, np.uint8)
+    at, n = np.unique(D._bin(np.concatenate(ws).view(np.uint64), bins), return_counts=True)
+    bins[at] = D._scaled(n * grown)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(ws))), pa.array([w.tolist() for w in ws], pa.list_(pa.int64()))], names=["cid", "ws"])
+    f = pa.Table.from_batches(list(D._features(bins, t, hot)(iter([batch])))).to_pandas()
+    crowds = {}
+    for x in f["budgets"][0]:
+        crowds[x["own"], x["other"], x["level"]] = x["n"] * grown
+    keys = [set() for _ in sets]
+    for r in next(D._keys(crowds, t, 1, hot)(iter([f]))).itertuples():
+        who = np.frombuffer(r.cids, np.int64)[np.frombuffer(r.owners, np.int32)]
+        for k, w in zip(np.frombuffer(r.keys, np.uint32).tolist(), who.tolist()):
+            keys[w].add(k)
+    return keys
+
+
+@pytest.mark.parametrize("t,grown", [(0.5, 1), (0.75, 1), (0.75, 10**4), (0.75, 10**7), (0.8, 10**9)])
+def test_similar_sets_share_a_key(t, grown):
     rng = random.Random(7)
+    sets = []
+    for _ in range(400):
+        x = set(rng.sample(range(60), rng.randrange(2, 40)))
+        sets += [x, x ^ set(rng.sample(range(60), rng.randrange(1, 6)))]
+    sets = [s for s in sets if s]
+    keys = _run(sets, t, 128, grown)
     met = 0
-    for _ in range(3000):
-        x = sorted(rng.sample(range(1, 13), rng.randrange(2, 9)))
-        y = sorted(rng.sample(range(1, 13), rng.randrange(2, 9))) if rng.random() < 0.3 else sorted(set(x) ^ set(rng.sample(range(1, 13), rng.randrange(1, 4))))
-        if y and len(set(x) & set(y)) >= t * len(set(x) | set(y)):
-            a, b = [], []
-            for w, out in ((x, a), (y, b)):
-                D._combine(w, [0.3] * len(w), len(w), t, 10**9, out)
-            assert set(a) & set(b), (x, y)
-            met += len(x) != len(y)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= t * len(a | sets[j]):
+                assert keys[i] & keys[j], (a, sets[j])
+                met += len(a) != len(sets[j])
     assert met > 100
 
 
-def test_frequent_words_with_large_n(spark, monkeypatch):
-    # with no bound met, every key ends at its record's own size
-    rng = random.Random(3)
-    rows = [(i, " ".join(rng.sample([f"c{k}" for k in range(11)], rng.randrange(3, 10))), None, None, "") for i in range(150)]
-    keys = D._keys
-    monkeypatch.setattr(D, "HOT", 0)
-
-    def with_hot(*a):
-        run = keys(*a)
-
-        def go(batches):
-            D.HOT = 0
-            return run(batches)
+def test_keys_stay_few_as_the_table_grows():
+    rng = random.Random(9)
+    sets = [set(rng.sample(range(400), 20)) for _ in range(500)]  # each word in a twentieth of all records
+    few, many = (sum(map(len, _run(sets, 0.75, 128, g))) / 500 for g in (100, 10**7))
+    assert many < 8 * few
 
-        return go
 
-    monkeypatch.setattr(D, "_keys", with_hot)
-    m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS)
-    assert {tuple(r) for r in D.record_pairs(m, p).collect()} == brute(rows, 0.75)
+def test_budget_levels():
+    b = np.arange(200)
+    assert (D.level(b) >= b).all() and (D.level(b) <= 1.5 * b + 2).all() and (D.level(b[:5]) == b[:5]).all()
 
 
 def test_ring_never_loses_a_near_pair():
@@ -131,3 +122,13 @@ def test_small_tables(spark):
     for rows in ([], [(1, None, None, None, None)], [(1, "a", None, None, None)], [(None, "a", None, None, None)]):
         m, p = D.near_pairs(spark, spark.createDataFrame(rows, SCHEMA), "finding_id", COLS)
         assert D.record_pairs(m, p).count() == 0
+
+
+def test_shards_and_groups(spark):
+    rows = [(i, "the same words", None, None, "") for i in range(40)] + [(50 + i, "the same words here", None, None, "") for i in range(9)] + [(90, "quite other text", None, None, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    m, p = D.near_pairs(spark, df, "finding_id", COLS)
+    got = [tuple(r) for r in D.record_pairs(m, p, shard=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 0.75)
+    g = {r.id: (r.class_id, r.links, r.group_id) for r in D.groups(spark, m, p).collect()}
+    assert len(g) == 50 and g[3] == (0, 1, 0) and g[55] == (50, 1, 0) and g[90] == (90, 0, 90)
