@@ -64,6 +64,11 @@ def p4_scores(spark: SparkSession, d: str) -> DataFrame:
     return handwritten.scores(table(spark, d, "review_requests"), table(spark, d, "vendored_index"))
 
 
+def p4_validation(spark: SparkSession, d: str) -> DataFrame:
+    """How the classifiers agree with the weak labels on the fitting rows, by repository; held-out repositories were not trained on."""
+    return handwritten.validation(table(spark, d, "review_requests"), table(spark, d, "vendored_index"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.piece_spans(_items(spark, d)).where("piece_no = 1").select("item_kind", "item_id")
 
@@ -114,7 +119,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [p1_found, p1_rates, p1_graph_agreement, p3_found, p3_classes, p4_found, p4_scores, p5_found, p5_pieces, p6_found, p6_counts, p8_packed, p8_fill, p9_mix, p9_shares, p9_mix_stretched, p9_shares_stretched, p10_found, p10_restored]
+    every = [p1_found, p1_rates, p1_graph_agreement, p3_found, p3_classes, p4_found, p4_scores, p4_validation, p5_found, p5_pieces, p6_found, p6_counts, p8_packed, p8_fill, p9_mix, p9_shares, p9_mix_stretched, p9_shares_stretched, p10_found, p10_restored]
     return {f.__name__: f for f in every}
 
 
