@@ -9,11 +9,14 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 FACTS = "request_id bigint, function string, kind string, symbol string, line int, start_byte int, arguments int, detail string"
 # Words that stand before a parenthesis without being called, and the lock functions.
 NOT_CALLED = set("if for while switch return sizeof catch alignof decltype defined typeof __attribute__ noexcept static_assert _Static_assert alignas".split())
@@ -66,48 +69,74 @@ def arguments(text: str, a: int, b: int) -> list[tuple[int, int]]:
     return out if text[a:b].strip() else []
 
 
-def lock_name(expression: str) -> str:
-    """A lock expression without spaces, address-of and outer parentheses; `->` as a dot, of `a.b.lock` the last two parts."""
-    v = "".join(expression.split()).replace("->", ".")
-    while v.startswith("(") and ")" in v:
-        inner, rest = v[1 : v.index(")")], v[v.index(")") + 1 :]
-        v = (rest or inner).strip("&")
-    v = v.strip("&()")
-    return ".".join(v.split(".")[-2:]) if v.endswith(".lock") else v
+def lock_name(expression: Column) -> Column:
+    """A lock expression without white space, casts before it, parentheses around it and address-of; `->` as a dot, of `a.b.lock` the last two parts."""
+    v = F.replace(F.regexp_replace(expression, T.SPACE, ""), F.lit("->"), F.lit("."))
+    for pattern, put in (
+        (r"^(?:\([^)]*\)&*)+(?=[^&])", ""),  # brackets before something else: casts
+        (r"^\(([^)]*)\)&*$", "$1"),
+        (r"^[&()]+|[&()]+$", ""),
+        (r"^.*\.([^.]*\.lock)$", "$1"),
+    ):
+        v = F.regexp_replace(v, pattern, put)
+    return v
 
 
-def facts(text: str) -> Iterator[tuple[str, str, str, int, int, int | None, str | None]]:
-    """(function, kind, symbol, line, start byte, arguments, detail): kinds function, parameter, call, lock, unlock, loop, return, assignment."""
-    text = text.replace("\r\n", "\n")
-    m = masked(text)
+@dataclass
+class Definition:
+    """A function definition in a masked text, by places in it."""
+
+    name: str
+    start: int
+    opening: int
+    closing: int
+    body: int
+    end: int
+    line: int
+    last_line: int
+    before: str
+
+
+_TAIL = re.compile(r"\s*(?:const\b|noexcept\b|override\b|final\b|volatile\b|&&?|->\s*[\w:<>,*&\s]+?)*\s*(?::[^;{}]*(?:\{[^{}]*\}[^;{}]*)*)?\{")
+_NO_HEAD = re.compile(r"=|\b(?:return|else|do|case|goto|new|throw)\b")
+
+
+def definitions(m: str) -> Iterator[Definition]:
+    """The function definitions of a masked text, in order; one that breaks off ends with the text."""
     starts = [0, *(x.end() for x in re.finditer("\n", m))]
-    line = lambda p: bisect_right(starts, p)
-    ascii_ = m.isascii() and text.isascii()
-    byte = (lambda p: p) if ascii_ else (lambda p: len(text[:p].encode()))
     at = 0
     while h := _HEAD.search(m, at):
         at = h.end()
-        name = h[1]
-        if name in NOT_CALLED:
+        if h[1] in NOT_CALLED or (end := closing(m, h.end() - 1)) < 0:
             continue
-        end = closing(m, h.end() - 1)
-        if end < 0:
-            continue
-        tail = re.compile(r"\s*(?:const\b|noexcept\b|override\b|final\b|volatile\b|&&?|->\s*[\w:<>,*&\s]+?)*\s*(?::[^;{}]*(?:\{[^{}]*\}[^;{}]*)*)?\{").match(m, end + 1)
+        tail = _TAIL.match(m, end + 1)
         before = m[max(m.rfind(c, 0, h.start()) for c in ";{}") + 1 : h.start()]
-        if not tail or "=" in before or re.search(r"\b(?:return|else|do|case|goto|new|throw)\b", before):
+        if not tail or _NO_HEAD.search(before):
             continue
         stop = closing(m, tail.end() - 1)
-        if stop < 0:
-            stop = len(m)
-        params = arguments(m, h.end(), end)
-        static = bool(re.search(r"\bstatic\b", before))
-        yield name, "function", name, line(h.start()), byte(h.start()), len([p for p in params if m[p[0] : p[1]].strip() != "void"]), "internal" if static else "external"
+        stop = len(m) if stop < 0 else stop
+        yield Definition(h[1], h.start(), h.end(), end, tail.end(), stop, bisect_right(starts, h.start()), bisect_right(starts, min(stop, len(m) - 1)), before)
+        at = stop
+
+
+def facts(text: str) -> Iterator[tuple[str, str, str, int, int, int | None, str | None]]:
+    """(function, kind, symbol, line, start byte, arguments, detail): kinds function, parameter, call, lock, unlock, loop, return, assignment."""
+    text = text.replace("\r\n", "\n")
+    m = masked(text)
+    starts = [0, *(x.end() for x in re.finditer("\n", m))]
+    line = lambda p: bisect_right(starts, p)
+    ascii_ = m.isascii() and text.isascii()
+    byte = (lambda p: p) if ascii_ else (lambda p: len(text[:p].encode()))
+    for d in definitions(m):
+        name, stop = d.name, d.end
+        params = arguments(m, d.opening, d.closing)
+        static = bool(re.search(r"\bstatic\b", d.before))
+        yield name, "function", name, d.line, byte(d.start), len([p for p in params if m[p[0] : p[1]].strip() != "void"]), "internal" if static else "external"
         for a, b in params:
             words = re.findall(r"[A-Za-z_]\w*", m[a:b])
             if len(words) > 1:
                 yield name, "parameter", words[-1], line(a), byte(a), None, " ".join(text[a:b].split())
-        body = (tail.end(), stop)
+        body = (d.body, stop)
         for c in _CALL.finditer(m, *body):
             callee = c[2]
             if callee in NOT_CALLED or re.search(r"\b(?:struct|new)\s+$", m[max(0, c.start() - 8) : c.start()]):
@@ -116,14 +145,13 @@ def facts(text: str) -> Iterator[tuple[str, str, str, int, int, int | None, str
             args = arguments(m, c.end(), close) if close >= 0 else []
             yield name, "call", callee, line(c.start(2)), byte(c.start(2)), len(args), "member" if c[1] else "direct"
             if callee in LOCKS | UNLOCKS and args:
-                yield name, "lock" if callee in LOCKS else "unlock", lock_name(text[args[0][0] : args[0][1]]), line(c.start()), byte(c.start()), None, callee
+                yield name, "lock" if callee in LOCKS else "unlock", text[args[0][0] : args[0][1]], line(c.start()), byte(c.start()), None, callee
         for c in re.compile(r"\b(for|while|do)\b").finditer(m, *body):
             yield name, "loop", c[1], line(c.start()), byte(c.start()), None, None
         for c in re.compile(r"\breturn\b([^;]*);").finditer(m, *body):
             yield name, "return", " ".join(text[c.start(1) : c.end(1)].split()), line(c.start()), byte(c.start()), None, None
         for c in _ASSIGN.finditer(m, *body):
             yield name, "assignment", re.sub(r"\s+", "", c[1]).replace("->", "."), line(c.start()), byte(c.start()), None, None
-        at = stop
 
 
 def extract(files: DataFrame) -> DataFrame:
@@ -135,7 +163,8 @@ def extract(files: DataFrame) -> DataFrame:
             rows = [(i, *f) for i, t in zip(b["request_id"], b["snippet"]) for f in facts(t)]
             yield pd.DataFrame(rows, columns=cols).astype({"arguments": "Int32"})
 
-    return files.where("snippet is not null").select("request_id", "snippet").mapInPandas(run, FACTS)
+    found = files.where("snippet is not null").select("request_id", "snippet").mapInPandas(run, FACTS)
+    return found.withColumn("symbol", F.when(F.col("kind").isin("lock", "unlock"), lock_name(F.col("symbol"))).otherwise(F.col("symbol")))
 
 
 def link(found: DataFrame, files: DataFrame) -> DataFrame:

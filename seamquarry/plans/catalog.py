@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import c_facts, evidence, graph, hierarchy, reports, retrieval, source_text
+from ..operators import c_facts, evidence, graph, hierarchy, reports, retrieval, snippets, source_text
 from ..session import table
 from ..streaming import trace
 
@@ -58,7 +58,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 # Text
 
 
-@query(f"SELECT request_id, line, sum(b + 1) OVER (PARTITION BY request_id ORDER BY line) - b - 1 AS start_byte, b AS n_bytes FROM (SELECT request_id, line, octet_length(encode(line_text)) AS b FROM {LINES})")
+@query(
+    f"""WITH w AS (SELECT request_id, unnest(l) AS whole, unnest(range(1, len(l) + 1)) AS line FROM (SELECT request_id, regexp_extract_all(coalesce(snippet, ''), '[^\\r\\n]*(?:\\r\\n|\\r|\\n)|[^\\r\\n]+') AS l FROM {REQ}))
+    SELECT request_id, line, (sum(octet_length(encode(whole))) OVER (PARTITION BY request_id ORDER BY line) - octet_length(encode(whole)))::BIGINT AS start_byte, octet_length(encode(rtrim(whole, chr(13) || chr(10)))) AS n_bytes FROM w"""
+)
 def line_index(spark, d):
     return lines(spark, d).select("request_id", "line", "start_byte", "n_bytes")
 
@@ -167,11 +170,41 @@ def line_chunks(spark, d):
     return source_text.chunks(requests(spark, d), "request_id", "snippet", "lines")
 
 
+def _by_path(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Findings and files with one column for repository and path; path stays the file's own for its ending."""
+    files = requests(spark, d).select(F.concat_ws("\n", "repo", "file_path").alias("path"), F.col("snippet").alias("source"))
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id")
+    f = f.select("finding_id", F.concat_ws("\n", "repo", "file").alias("path"), "line", "code_snippet", "start_line", "end_line", F.concat_ws("\n", "issue", "reasoning").alias("context"))
+    return f, files
+
+
 @query()
 def snippet_locations(spark, d):
-    files = requests(spark, d).select(F.concat_ws("\n", "repo", "file_path").alias("path"), F.col("snippet").alias("source"))
-    f = source_text.once(table(spark, d, "review_findings"), "finding_id").select("finding_id", F.concat_ws("\n", "repo", "file").alias("path"), "code_snippet", "start_line", "end_line")
-    return source_text.locate_snippets(f, files)
+    return snippets.locate_snippets(*_by_path(spark, d))
+
+
+@query()
+def finding_anchors(spark, d):
+    """The anchor of each located finding: its display id, and one that doesn't change when lines move."""
+    f, files = _by_path(spark, d)
+    a = snippets.locate_snippets(f, files).where("first_line is not null").join(f.select("finding_id", "path"), "finding_id")
+    file = F.substring_index("path", "\n", -1)
+    shown = F.concat(file, F.lit(":"), F.col("first_line"), F.when(F.col("last_line") > F.col("first_line"), F.concat(F.lit("-"), "last_line")).otherwise(F.lit("")))
+    stable = snippets.stable_id(file, F.col("symbol"), F.col("content_hash"))
+    return a.select("finding_id", "confidence", shown.alias("display_id"), stable.alias("stable_id"), F.sha2(stable, 256).alias("fingerprint"))
+
+
+@query()
+def finding_functions(spark, d):
+    """The function at each finding's line in C and C++ files, as many of its lines as the budget holds."""
+    f, files = _by_path(spark, d)
+    return snippets.functions_at(f.where(F.lower("path").rlike(snippets.C_ENDINGS)), files)
+
+
+@query()
+def chunk_anchors(spark, d):
+    r = requests(spark, d).where("snippet <> ''").select("request_id", "snippet", F.col("file_path").alias("path"))
+    return snippets.chunk_anchors(r, source_text.chunks(r, "request_id", "snippet", "halved", 256), "request_id", "snippet")
 
 
 @query()
@@ -297,14 +330,20 @@ def sarif_results(spark, d):
     return reports.sarif_results(findings(spark, d), files)
 
 
-_USAGE = """(SELECT DISTINCT ON (record_id) run_id AS scope_id, json_extract_string(attributes, '$.model') AS model, json_extract_string(attributes, '$.operation') AS operation,
-  json_extract_string(attributes, '$.input_tokens')::BIGINT AS i, json_extract_string(attributes, '$.output_tokens')::BIGINT AS o, json_extract_string(attributes, '$.total_tokens')::BIGINT AS t
-  FROM runlog WHERE record = 'event' AND name = 'usage' AND json_valid(attributes) AND attributes LIKE '{%' ORDER BY record_id)"""
+_USAGE = r"""(SELECT DISTINCT ON (record_id) run_id AS scope_id, json_extract_string(a, '$.model') AS model, json_extract_string(a, '$.operation') AS operation,
+  json_extract_string(a, '$.input_tokens')::BIGINT AS i, json_extract_string(a, '$.output_tokens')::BIGINT AS o, json_extract_string(a, '$.total_tokens')::BIGINT AS t
+  FROM (SELECT record_id, run_id, CASE WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x ELSE 'null' END) = 'VARCHAR' THEN ltrim(json_extract_string(CASE WHEN json_valid(x) THEN x ELSE 'null' END, '$'), chr(65279)) ELSE x END AS a
+    FROM (SELECT record_id, run_id, ltrim(attributes, chr(65279)) AS x FROM runlog WHERE record = 'event' AND name = 'usage'))
+  WHERE json_type(CASE WHEN json_valid(a) THEN a ELSE 'null' END) = 'OBJECT' ORDER BY record_id)"""
 _USAGE_CLEAN = f"(SELECT scope_id AS scope, coalesce(model, 'unknown') AS model, coalesce(operation, 'llm') AS operation, greatest(coalesce(i, 0), 0) AS i, greatest(coalesce(o, 0), 0) AS o, greatest(coalesce(t, coalesce(i, 0) + coalesce(o, 0)), 0) AS t FROM {_USAGE})"
 
 
 def _usage(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "runlog").where("record = 'event' and name = 'usage' and attributes like '{%'").select("record_id", "run_id", F.try_parse_json("attributes").alias("a")).where("a is not null")
+    """Usage events; attributes may be encoded twice or start with a byte-order mark."""
+    plain = lambda c: F.regexp_replace(c, "^\\ufeff+", "")
+    u = table(spark, d, "runlog").where("record = 'event' and name = 'usage'").select("record_id", "run_id", F.try_parse_json(plain("attributes")).alias("v"))
+    v = F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(plain(F.try_variant_get("v", "$", "string")))).otherwise(F.col("v"))
+    u = u.select("record_id", "run_id", v.alias("a")).where(F.schema_of_variant("a").startswith("OBJECT"))
     get = lambda k, t: F.try_variant_get("a", f"$.{k}", t).alias(k)
     return source_text.once(u.select("record_id", F.col("run_id").alias("scope_id"), get("model", "string"), get("operation", "string"), get("input_tokens", "bigint"), get("output_tokens", "bigint"), get("total_tokens", "bigint")), "record_id")
 
@@ -321,34 +360,6 @@ def usage_by_operation(spark, d):
     return reports.operation_report(reports.usage_totals(_usage(spark, d)))
 
 
-_USAGE_ALL = r"""(SELECT DISTINCT ON (record_id) run_id AS scope_id, json_extract_string(a, '$.model') AS model, json_extract_string(a, '$.operation') AS operation,
-  json_extract_string(a, '$.input_tokens')::BIGINT AS i, json_extract_string(a, '$.output_tokens')::BIGINT AS o, json_extract_string(a, '$.total_tokens')::BIGINT AS t
-  FROM (SELECT record_id, run_id, CASE WHEN json_valid(x) AND json_type(CASE WHEN json_valid(x) THEN x ELSE 'null' END) = 'VARCHAR' THEN ltrim(json_extract_string(CASE WHEN json_valid(x) THEN x ELSE 'null' END, '$'), chr(65279)) ELSE x END AS a
-    FROM (SELECT record_id, run_id, ltrim(attributes, chr(65279)) AS x FROM runlog WHERE record = 'event' AND name = 'usage'))
-  WHERE json_type(CASE WHEN json_valid(a) THEN a ELSE 'null' END) = 'OBJECT' ORDER BY record_id)"""
-_USAGE_ALL_CLEAN = _USAGE_CLEAN.replace(_USAGE, _USAGE_ALL)
-
-
-def _usage_all(spark: SparkSession, d: str) -> DataFrame:
-    """As `_usage`, with attributes that were encoded twice or start with a byte-order mark or white space."""
-    plain = lambda c: F.regexp_replace(c, "^\\ufeff+", "")
-    u = table(spark, d, "runlog").where("record = 'event' and name = 'usage'").select("record_id", "run_id", F.try_parse_json(plain("attributes")).alias("v"))
-    v = F.when(F.schema_of_variant("v") == "STRING", F.try_parse_json(plain(F.try_variant_get("v", "$", "string")))).otherwise(F.col("v"))
-    u = u.select("record_id", "run_id", v.alias("a")).where(F.schema_of_variant("a").startswith("OBJECT"))
-    get = lambda k, t: F.try_variant_get("a", f"$.{k}", t).alias(k)
-    return source_text.once(u.select("record_id", F.col("run_id").alias("scope_id"), get("model", "string"), get("operation", "string"), get("input_tokens", "bigint"), get("output_tokens", "bigint"), get("total_tokens", "bigint")), "record_id")
-
-
-@query(ORACLE["usage_grouping_sets"].replace(_USAGE_CLEAN, _USAGE_ALL_CLEAN))
-def usage_grouping_sets_all(spark, d):
-    return reports.usage_totals(_usage_all(spark, d))
-
-
-@query(ORACLE["usage_by_operation"].replace(_USAGE_CLEAN, _USAGE_ALL_CLEAN))
-def usage_by_operation_all(spark, d):
-    return reports.operation_report(reports.usage_totals(_usage_all(spark, d)))
-
-
 # Graph
 
 _NODES = """(SELECT DISTINCT ON (graph_revision, position) repo, identity AS id, json_extract_string(payload, '$.file_path') AS file_path, json_extract_string(payload, '$.name') AS name,
@@ -585,7 +596,7 @@ def stream_window_counts(spark, d):
 
 @query()
 def model_json(spark, d):
-    return evidence.with_python(table(spark, d, "documents"), "doc_id", "text", evidence.json_text, "string", "json_text")
+    return table(spark, d, "documents").where("text is not null").select("doc_id", evidence.json_text(F.col("text")).alias("json_text"))
 
 
 @query()
@@ -607,20 +618,19 @@ def redacted_blobs(spark, d):
     return evidence.blobs(source_text.once(table(spark, d, "runlog").select("record_id", "attributes"), "record_id"), "attributes")
 
 
+_PHRASES = lambda xs: "|".join(x.replace(" ", "\\s+") for x in xs if x != "contradict")
+_PROSE = "lower(concat_ws(chr(10), coalesce(issue, ''), coalesce(reasoning, ''), coalesce(mitigation, '')))"
+
+
 @query(
-    f"SELECT finding_id, regexp_matches(lower(coalesce(reasoning, '')), 'race') AS race FROM {FIND} WHERE NOT regexp_matches(lower(coalesce(reasoning, '')), 'not |no |never |without')"
+    f"""SELECT finding_id, regexp_matches(t, '(^|[^a-z0-9_])({_PHRASES(evidence.CONTRADICTIONS)})($|[^a-z0-9_])') OR regexp_matches(regexp_replace(t, '\\b(not|no)\\s+contradict(s|ed|ing|ion|ory)?\\b', '', 'g'), '\\bcontradict(s|ed|ing|ion|ory)?\\b') AS contradicted,
+    regexp_matches(t, '(^|[^a-z0-9_])({_PHRASES(evidence.UNCERTAINTIES)})($|[^a-z0-9_])') AS uncertain FROM (SELECT finding_id, {_PROSE} AS t FROM {FIND})"""
 )
 def prose_signals(spark, d):
-    """Findings whose reasoning holds no negation at all, and whether it speaks of a race."""
-    f = source_text.once(table(spark, d, "review_findings"), "finding_id").where(~F.lower(F.coalesce("reasoning", F.lit(""))).rlike("not |no |never |without"))
-    return f.select("finding_id", evidence.signalled(F.col("reasoning"), ["race"]).alias("race"))
-
-
-@query()
-def prose_signals_all(spark, d):
-    """Every finding, and whether its reasoning speaks of a race without a negation just before it."""
+    """Every finding, and whether its texts speak against it or leave it open."""
     f = source_text.once(table(spark, d, "review_findings"), "finding_id")
-    return f.select("finding_id", evidence.signalled(F.col("reasoning"), ["race"]).alias("race"))
+    t = F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in ("issue", "reasoning", "mitigation")))
+    return f.select("finding_id", evidence.signalled(t, evidence.CONTRADICTIONS).alias("contradicted"), evidence.signalled(t, evidence.UNCERTAINTIES).alias("uncertain"))
 
 
 @query(f"SELECT min(finding_id) AS finding_id, count(*) AS claims, arg_min(issue, finding_id) AS issue, string_agg(DISTINCT repo, ',' ORDER BY repo) AS repos FROM (SELECT *, lower(regexp_replace(issue, '{S}+', ' ', 'g')) AS k FROM {NORM}) GROUP BY k, severity")

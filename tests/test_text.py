@@ -1,11 +1,14 @@
 import hashlib
 import math
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seamquarry.functions import text as T
+from seamquarry.operators import snippets as N
 from seamquarry.operators import source_text as S
 
 
@@ -54,7 +57,7 @@ def test_ignore_rules(spark):
 @given(st.text(alphabet="ab \n\r", max_size=200), st.integers(1, 20))
 def test_halving_loses_nothing(text, limit):
     size = lambda s: math.ceil(len(s) / 2) if s else 0
-    parts = S.halved(text, limit, size)
+    parts = S.halved(text, limit, 2.0)
     assert "".join(p for p, _ in parts) == text and all(size(p) <= limit for p, _ in parts)
 
 
@@ -65,14 +68,64 @@ def test_line_windows():
     assert S.by_lines("x" * 5000)[0] == ("x" * 5000, 1) and S.by_lines("") == []
 
 
+def halved_brute(text, limit, size):
+    cut = lambda p: [p] if size(p) <= limit else cut(p[: len(p) // 2]) + cut(p[len(p) // 2 :])
+    whole = lambda ps: ["".join(ps)] if size("".join(ps)) <= limit else whole(ps[: len(ps) // 2]) + whole(ps[len(ps) // 2 :])
+    parts = [p for line in text.splitlines(keepends=True) for p in cut(line)]
+    return whole(parts) if parts else []
+
+
+def test_halving_matches_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        text = "".join("x" * rng.choice([0, 1, 5, 30, 90]) + "\n" for _ in range(rng.randrange(12)))
+        limit = rng.randrange(1, 30)
+        assert [p for p, _ in S.halved(text, limit, 4.0)] == halved_brute(text, limit, lambda p: math.ceil(len(p) / 4))
+    assert S.halved("a\nb\nc\n", 1, 2.0) == [("a\n", 1), ("b\n", 2), ("c\n", 3)]
+    with pytest.raises(ValueError):
+        S.halved("ab", 1, 0.4)
+
+
+def test_byte_offsets_follow_the_text_as_it_is(spark):
+    df = spark.createDataFrame([(1, "é\r\nab\rc\n\nd")], "id bigint, t string")
+    assert [tuple(r)[1:] for r in S.line_index(df, "id", "t").orderBy("line").collect()] == [(1, "é", 0, 2), (2, "ab", 4, 2), (3, "c", 7, 1), (4, "", 9, 0), (5, "d", 10, 1)]
+
+
+SOURCE = "int f() {\n  a();\n  return 0;\n}\nint g() {\n  b();\n  other(1);\n  return 0;\n}\n"
+
+
 def test_locate():
-    src = "int f() {\n  a();\n  return 0;\n}\nint g() {\n  b();\n  return 0;\n}\n"
-    assert S.locate(src, "a();", 2, 2) == ("exact", 2, 2)
-    assert S.locate(src, "  b();") == ("exact", 6, 6)
-    assert S.locate(src, "  return 0;") == ("disambiguated", 3, 3)
-    assert S.locate(src, "  return 0;\n}", 6, 7) == ("disambiguated", 7, 8)
-    assert S.locate(src, "b();\n other();\nreturn 0;")[0] == "fuzzy"
-    assert S.locate(src, "nothing of it") == S.locate(src, "") == S.locate("", "a") == ("unresolved", None, None)
+    here = N.Located(SOURCE, True)
+    assert here.find("a();", 2, 2) == ("exact", 2, 2) and here.find("  b();") == ("exact", 6, 6)
+    assert here.find("  return 0;") == ("disambiguated", 3, 3)
+    assert here.find("  return 0;\n}", 7, 8) == ("disambiguated", 8, 9)
+    assert here.find("  return 0;", context="see g here") == ("disambiguated", 8, 8)
+    assert here.find("6:   b();\n7:   other(1);", 6, 7) == ("exact", 6, 7) and here.find("6:   b();", 2, 2)[0] == "unresolved"
+    assert here.find("x();\n  other( 1 );\nother(1);") == ("fuzzy", 7, 7)
+    assert here.find("nothing of it") == here.find("\n \n") == N.Located("").find("a") == ("unresolved", None, None)
+    assert here.symbol(2) == "f" and here.symbol(99) is None and here.anchor("exact", 2, 2)[3:6] == (10, 16, "f")
+
+
+def test_functions_and_spans():
+    assert N.function_spans(SOURCE) == [("f", 1, 4), ("g", 5, 9)] and N.nearest_span([("f", 1, 4), ("g", 6, 9)], 5) == (6, 9) and N.nearest_span([], 5) is None
+    lines = SOURCE.splitlines()
+    assert N.function_text(lines, N.function_spans(SOURCE), 1) == "1: int f() {\n2:   a();\n3:   return 0;\n4: }"
+    assert N.function_text(lines, N.function_spans(SOURCE), 1, 22) == "1: int f() {\n2:   a();" and N.function_text(lines, [], 8, 4) == "8:  " and N.function_text([], [], 1) == ""
+
+
+def test_located_findings(spark):
+    files = spark.createDataFrame([("a.c", SOURCE), ("b.c", None)], "path string, source string")
+    rows = [(i, "a.c", "  b();", None, None, "") for i in range(1200)] + [(2000, "a.c", None, 1, 1, None), (2001, "b.c", "x", 1, 1, None), (2002, None, "x", 1, 1, None), (2003, "no.c", "x", 1, 1, None)]
+    f = spark.createDataFrame(rows, "finding_id bigint, path string, code_snippet string, start_line int, end_line int, context string")
+    got = {r.finding_id: tuple(r)[1:4] for r in N.locate_snippets(f, files).collect()}
+    assert len(got) == 1204 and all(got[i] == ("exact", 6, 6) for i in range(1200)) and all(got[i] == ("unresolved", None, None) for i in range(2000, 2004))
+    assert max(len(r.asked) for r in N.gathered(f, files).collect()) < 600
+    docs = spark.createDataFrame([(1, SOURCE, "a.c")], "id bigint, t string, path string")
+    parts = N.chunk_anchors(docs, S.chunks(docs, "id", "t", "halved", 6), "id", "t").orderBy("chunk").collect()
+    raw = SOURCE.encode()
+    assert parts and all(p.confidence == "exact" for p in parts) and [p.first_line for p in parts] == sorted(p.first_line for p in parts) and parts[-1].end_byte == len(raw) - 1
+    fn = N.functions_at(f.select("finding_id", "path", F.lit(6).alias("line")), files).where("finding_id = 0").first()
+    assert (fn.first_line, fn.last_line) == (5, 9)
 
 
 def test_diffs(spark):
