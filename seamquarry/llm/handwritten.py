@@ -105,7 +105,7 @@ def features(paths: list[str | None], texts: list[str | None], blocks: set[str])
             here[max(z - width + 1, 0) : z] = False
         f, code, n = _counted(file[: len(codes)][here], codes[here])
         total = np.bincount(f, n if frequency else None, minlength=len(raw))
-        out[name] = f, code + AT[name], np.sqrt((n if frequency else 1) / total[f])
+        out[name] = f.astype(np.int32), (code + AT[name]).astype(np.int32), np.sqrt((n if frequency else 1) / total[f]).astype(np.float32)
 
     if len(b) >= 8:
         if blocks & {"grams", "longs"}:
@@ -141,7 +141,7 @@ def rows_of(chunks: list[tuple[int, dict]], blocks: set[str]) -> list[tuple[np.n
         f, p, v = (np.concatenate(x) for x in zip(*(got[k] for k in sorted(blocks & got.keys() | {"bias"}))))
         order = np.argsort(f, kind="stable")
         cuts = np.searchsorted(f[order], np.arange(1, n))
-        out += zip(np.split(p[order], cuts), np.split(v[order], cuts))
+        out += zip(np.split(p[order], cuts), np.split(v[order].astype(float), cuts))
     return out
 
 
