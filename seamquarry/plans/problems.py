@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import hierarchy, nested
 from ..session import shared_dir, table
@@ -15,11 +16,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.hierarchy(spark, hierarchy.span_nodes(table(spark, d, "runlog")))
+    tree = hierarchy.run_hierarchy(spark, table(spark, d, "runlog"))
+    return tree.withColumn("path", F.concat(F.lit("/"), F.array_join("path", "/")))
 
 
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(p2_hierarchy(spark, d))
+    return hierarchy.descendants(hierarchy.run_hierarchy(spark, table(spark, d, "runlog")))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,19 +35,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a private one where it is unset (tests, one machine)."""
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir. A private one where that is unset and
+    the session runs in one process, as in tests; an error where it is unset on a cluster, whose machines share no such folder."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="seamquarry-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder. Each cuts the lineage and outlives a lost executor; `drop` frees the disk."""
+    """Tables written to the shared folder. Each cuts the lineage and outlives a lost executor; `drop` frees the disk early,
+    and what is left goes when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         """df, computed once; the result reads the written files."""
@@ -63,5 +71,3 @@ class Scratch:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
-
-MEMORY = StorageLevel.MEMORY_AND_DISK

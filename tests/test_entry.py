@@ -5,6 +5,8 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from seamquarry.plans import catalog, problems
+from seamquarry.session import shared_dir
 
 
 def norm(v):
@@ -17,7 +19,19 @@ def test_registry():
     assert set(E.oracle_sql()) <= set(E.queries()) and len(E.queries()) > 50
 
 
-@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not n.startswith(("p5", "p6"))))
+CORE = {**problems.ORACLE, **catalog.ORACLE}
+
+
+def test_scratch_needs_a_shared_folder():
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Cluster)
+
+
+@pytest.mark.parametrize("name", sorted(CORE))
 def test_parity(spark, data, name):
     import duckdb
 
