@@ -8,6 +8,7 @@ one tag's table back with typed columns, by the schema of all rows of that tag.
 from __future__ import annotations
 
 import json
+import re
 import sys
 from collections.abc import Iterator
 
@@ -30,20 +31,77 @@ def _no_constant(name: str) -> None:
     raise ValueError(name)
 
 
+_BLANK = re.compile(r"[ \t\n\r]*")
+_SCALAR = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][-+]?\d+)?|true|false|null")
+
+
+def deep_json(text: str):
+    """The value of a whole JSON text by a stack of its own, for texts nested deeper than the plain parser goes; ValueError if it isn't whole."""
+    top: list = []
+    stack: list = [top]
+    at, want = _BLANK.match(text).end(), "value"
+    keys: list = [None]
+
+    def put(v) -> None:
+        if isinstance(stack[-1], dict):
+            stack[-1][keys[-1]] = v
+        else:
+            stack[-1].append(v)
+
+    while at < len(text):
+        c = text[at]
+        if want == "next" and len(stack) > 1 and c == ",":
+            want, at = ("key" if isinstance(stack[-1], dict) else "value"), at + 1
+        elif want in ("next", "first") and len(stack) > 1 and c == ("}" if isinstance(stack[-1], dict) else "]"):
+            stack.pop(), keys.pop()
+            want, at = "next", at + 1
+        elif want == "key" or want == "first" and isinstance(stack[-1], dict):
+            if c != '"':
+                raise ValueError("key")
+            keys[-1], at = json.decoder.scanstring(text, at + 1, True)
+            at = _BLANK.match(text, at).end()
+            if text[at : at + 1] != ":":
+                raise ValueError("colon")
+            want, at = "value", at + 1
+        elif want in ("value", "first"):
+            if c in "{[":
+                new: dict | list = {} if c == "{" else []
+                put(new)
+                stack.append(new), keys.append(None)
+                want, at = "first", at + 1
+            elif c == '"':
+                v, at = json.decoder.scanstring(text, at + 1, True)
+                put(v)
+                want = "next"
+            elif m := _SCALAR.match(text, at):
+                put(json.loads(m[0]))
+                want, at = "next", m.end()
+            else:
+                raise ValueError("value")
+        else:
+            raise ValueError("end")
+        at = _BLANK.match(text, at).end()
+    if len(stack) > 1 or len(top) != 1 or want != "next":
+        raise ValueError("not whole")
+    return top[0]
+
+
+def _loaded(text: str):
+    try:
+        return json.loads(text, parse_constant=_no_constant)
+    except RecursionError:
+        return deep_json(text)
+
+
 def whole_json(text: str | None):
     """The value of a whole JSON text, decoded again where it was encoded twice; ValueError if it isn't whole JSON.
 
-    A leading byte-order mark is ignored. NaN and Infinity are not JSON. Nesting beyond the parser's depth is an error too.
+    A leading byte-order mark is ignored. NaN and Infinity are not JSON. Any depth of nesting is read.
     """
     if text is None:
         raise ValueError("null")
-    try:
-        value = json.loads(text.removeprefix(BOM), parse_constant=_no_constant)
-        if isinstance(value, str):
-            value = json.loads(value.removeprefix(BOM), parse_constant=_no_constant)
-    except RecursionError as e:
-        raise ValueError("too deep") from e
-    return value
+    value = _loaded(text.removeprefix(BOM))
+    return _loaded(value.removeprefix(BOM)) if isinstance(value, str) else value
 
 
 def visit(value) -> Iterator[tuple[str, str, str | None, bool, dict]]:

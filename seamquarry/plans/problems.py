@@ -32,6 +32,11 @@ def p7_tables(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(nested.json_texts(table(spark, d, "sarif_reports"), table(spark, d, "runlog")))
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    """The table, key and parent of every row of the tables, without the payload."""
+    return p7_tables(spark, d).drop("payload")
+
+
 def p7_schemas(spark: SparkSession, d: str) -> DataFrame:
     """The typed columns of every tag's table, over the tables as written."""
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
@@ -39,7 +44,7 @@ def p7_schemas(spark: SparkSession, d: str) -> DataFrame:
     return nested.schemas(spark.read.parquet(path))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p7_found, p7_tables, p7_schemas)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_hierarchy, p2_descendants, p7_found, p7_tables, p7_links, p7_schemas)}
 
 _SPANS = """
 WITH RECURSIVE e AS (SELECT DISTINCT run_id, span_id, parent_span_id AS parent FROM runlog
@@ -74,4 +79,11 @@ d AS (SELECT origin, k, CASE WHEN json_type(j) = 'VARCHAR' THEN ltrim(j ->> '$',
 w AS (SELECT DISTINCT origin, k, j FROM d WHERE json_valid(j) AND json_type(j) IN ('OBJECT', 'ARRAY'))
 SELECT DISTINCT origin, k AS record_key, CASE WHEN fullkey[2:2] = '.' THEN fullkey[3:] ELSE fullkey[2:] END AS child_path
 FROM w, json_tree(w.j::JSON) AS t WHERE t.type = 'OBJECT' AND ends_with(fullkey, ']')""",
+    "p7_links": """
+WITH x AS (SELECT 'sarif' AS origin, report_id::VARCHAR AS k, ltrim(payload, chr(65279)) AS j FROM sarif_reports WHERE payload IS NOT NULL UNION SELECT 'runlog', record_id, ltrim(attributes, chr(65279)) FROM runlog WHERE attributes IS NOT NULL),
+d AS (SELECT origin, k, CASE WHEN json_valid(j) THEN CASE WHEN json_type(CASE WHEN json_valid(j) THEN j ELSE 'null' END) = 'VARCHAR' THEN ltrim(CASE WHEN json_valid(j) THEN j ELSE 'null' END ->> '$', chr(65279)) ELSE j END ELSE j END AS j FROM x),
+w AS (SELECT DISTINCT origin, k, j FROM d WHERE json_valid(j)),
+o AS (SELECT origin, k, CASE WHEN fullkey[2:2] = '.' THEN fullkey[3:] ELSE fullkey[2:] END AS path FROM w, json_tree(w.j::JSON) AS t WHERE t.type = 'OBJECT')
+SELECT DISTINCT origin, k AS record_key, regexp_replace(path, '\\[\\d+\\]', '[]', 'g') AS tag, path, CASE WHEN regexp_matches(path, '^(\\[\\d+\\])*$') THEN NULL ELSE regexp_replace(path, '(^|\\.)[^.\\[\\]]+(\\[\\d+\\])*$', '') END AS parent_path, ends_with(path, ']') AS in_array FROM o
+UNION ALL SELECT DISTINCT origin, k, '#broken', '', NULL, false FROM d WHERE NOT json_valid(j)""",
 }

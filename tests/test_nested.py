@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+
 from seamquarry.operators import nested as N
 
 TEXTS = {
@@ -65,3 +67,22 @@ def test_typed_tables_by_tag(spark, tmp_path):
     assert {(r.record_key, r.path, r.parent_path, float(r.x)) for r in items.collect()} == {("0", "items[0]", "", 1.5), ("0", "items[1]", "", 2.0)}
     assert dict(items.dtypes)["tags"] == "array<string>" and {(r.path, r.position, r.value) for r in N.read_array(spark, at, "items[]", "tags").collect()} == {("items[0]", 0, "u"), ("items[0]", 1, "v")}
     assert N.read_table(spark, at, "#broken").columns == ["origin", "record_key", "path", "parent_path", "in_array"] and N.read_table(spark, at, "nowhere").count() == 0
+
+
+def test_any_depth_is_read(spark):
+    deep = '{"a": [' * 60_000 + '{"k": [1, "x", -2.5e3, true, null, {}]}' + "]}" * 60_000
+    inner = N.whole_json(deep)
+    for _ in range(60_000):
+        inner = inner["a"][0]
+    assert inner == {"k": [1, "x", -2500.0, True, None, {}]}
+    lists = spark.createDataFrame([("o", "k", "[" * 50_000 + '{"a": 1}' + "]" * 50_000)], "origin string, record_key string, text string")
+    assert N.array_elements(lists).first().child_path == "[0]" * 50_000
+
+
+def test_deep_parser_takes_what_the_plain_one_takes():
+    good = ['{"a": {"b": [1, [], {}, "x\\n", null]}, "c": 0}', " [ ] ", "{}", '"s"', "5", "[1,2 ,3]", '{"a":1,"a":2}']
+    bad = ["", "[1,]", "{,}", '{"a"}', '{"a":}', "[1 2]", "[1}", '{"a":1]', "[", "]", "[1]]", "1 2", "nul", "01", "[,1]", '{"a":1,}', '{1:2}', "'x'"]
+    assert all(N.deep_json(t) == json.loads(t) for t in good)
+    for t in bad:
+        with pytest.raises(ValueError):
+            N.deep_json(t)
