@@ -1,15 +1,20 @@
 """Mixing sources to target weights by hierarchical budgeting.
 
-Weights go down a tree: the sources by their targets, each source's languages by their size. A node that cannot use up its
-budget (its size times its permitted repeats) hands the rest to its siblings by their weights, and only what they cannot take
-either goes up to their parent's siblings. Each leaf then takes whole epochs and, of the next one, a token prefix in a seeded
-order. The prefix is found from sums over hash buckets, so no task ever holds a leaf in order.
+Weights go down a tree of domains, their sources and these sources' languages: a source weighs its target, a domain its
+sources' targets, a language its size. A node that cannot use up its budget (its size times its permitted repeats) hands the
+rest to its siblings by their weights, and only what they cannot take either goes up to their parent's siblings. (The targets
+are of sources, so the language is below the source and not above it: above, a shortage would pass from source to source.)
+Each leaf then takes whole epochs and, of the next one, a token prefix in a seeded order. The prefix is found from sums over
+hash buckets, so no task ever holds a leaf in order. Where it ends, whole documents rarely fit: what the leaves of a source
+leave over together is filled with its next documents that still fit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,7 +22,10 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .tokens import VOCABULARY, counter
 
-BUCKETS = 1024
+#: Documents to a bucket, about; the number of buckets follows the number of documents.
+IN_BUCKET = 2_000
+# The domain of each source: texts of the repository itself, and what people and tools say about it. A source that is not named is its own.
+DOMAINS = {"repo_source": "repository", "commit_notes": "repository", "design_notes": "repository", "review_reports": "review", "triage_notes": "review", "ask_sessions": "review", "threat_models": "security", "advisories": "security"}
 
 
 def _sizes(vocabulary: str):
@@ -44,26 +52,48 @@ def share_out(amount: float, weights: list[float], room: list[float]) -> list[fl
     return got
 
 
-def budgets(leaves: list[tuple[str, str | None, int]], targets: dict[str, tuple[float, int]], total: float | None = None, stretch: float = 0.0) -> dict[tuple[str, str | None], float]:
+def spread(amount: float, tree: dict) -> dict:
+    """The amount over a tree, by its leaves. A node is {name: (weight, room, subtree or None)}; room is what its leaves can take together."""
+    out = {}
+    names = sorted(tree, key=lambda x: (x is not None, x or ""))
+    for name, x in zip(names, share_out(amount, [tree[k][0] for k in names], [tree[k][1] for k in names])):
+        below = tree[name][2]
+        out.update({(name,): x} if below is None else {(name, *k): v for k, v in spread(x, below).items()})
+    return out
+
+
+def budgets(leaves: list[tuple[str, str | None, int]], targets: dict[str, tuple[float, int]], total: float | None = None, stretch: float = 0.0, domains: dict[str, str] = DOMAINS) -> dict[tuple[str, str | None], float]:
     """Tokens to take of each (source, language). Without a total: the most at which every source reaches its share exactly,
     and of what the sources could give beyond that the part `stretch` (0 to 1), where the scarce ones hand on their budgets.
     """
     by: dict[str, list[tuple[str | None, int]]] = {}
     for s, lang, n in leaves:
-        if s in targets and n > 0:
+        if s in targets and n > 0 and targets[s][0] > 0 and targets[s][1] > 0:
             by.setdefault(s, []).append((lang, n))
-    sources = sorted(s for s in by if targets[s][0] > 0 and targets[s][1] > 0)
-    room = [sum(n for _, n in by[s]) * targets[s][1] for s in sources]
-    weights = [targets[s][0] for s in sources]
+    tree: dict = {}
+    for s, langs in by.items():
+        weight, repeats = targets[s]
+        tree.setdefault(domains.get(s, s), {})[s] = (weight, repeats * sum(n for _, n in langs), {lang: (n, n * repeats, None) for lang, n in langs})
+    top = {d: (sum(x[0] for x in t.values()), sum(x[1] for x in t.values()), t) for d, t in tree.items()}
     if total is None:
-        total = min((r * sum(weights) / w for r, w in zip(room, weights)), default=0.0)
-        total += stretch * (sum(room) - total)
-    out = {}
-    for s, amount in zip(sources, share_out(total, weights, room)):
-        langs = sorted(by[s], key=lambda x: (x[0] is not None, x[0] or ""))
-        for (lang, _), x in zip(langs, share_out(amount, [n for _, n in langs], [n * targets[s][1] for _, n in langs])):
-            out[s, lang] = x
-    return out
+        sources = [x for t in tree.values() for x in t.values()]
+        total = min((room * sum(w for w, _, _ in sources) / w for w, room, _ in sources), default=0.0)
+        total += stretch * (sum(room for _, room, _ in sources) - total)
+    return {k[1:]: v for k, v in spread(total, top).items()}
+
+
+def _top_up(b: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's documents at the ends of its prefixes, in order, those that still fit; then the one, if any, that comes nearest."""
+    b = b.sort_values(["behind", "rank", "doc_id"])
+    left, tokens = float(b["left"].iloc[0]), b["tokens"].to_numpy()
+    more = np.zeros(len(b), np.int32)
+    for i, n in enumerate(tokens):
+        if n <= left:
+            more[i], left = 1, left - n
+    rest = np.flatnonzero(more == 0)
+    if len(rest) and (n := tokens[rest].min()) < 2 * left:
+        more[rest[tokens[rest] == n][0]] = 1
+    return b.assign(copies=b["epochs"] + more)[["doc_id", "source", "lang", "tokens", "copies"]]
 
 
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, vocabulary: str = VOCABULARY, stretch: float = 0.0) -> DataFrame:
@@ -76,29 +106,31 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, total: fl
     tmp = Scratch(spark)
     sized = tmp.write(rows.select("doc_id", "source", "lang", "text").mapInPandas(_sizes(vocabulary), "doc_id bigint, source string, lang string, tokens bigint"))
     want = {r.source: (r.target_share, r.max_repeats) for r in targets.where("source is not null and target_share > 0 and max_repeats > 0").collect()}
-    leaves = [tuple(r) for r in sized.where(F.col("source").isin(*want)).groupBy("source", "lang").agg(F.sum("tokens")).collect()]
+    found = sized.where(F.col("source").isin(*want)).groupBy("source", "lang").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).collect()
+    leaves = [(r.source, r.lang, r.tokens) for r in found]
     size = {(s, lang): n for s, lang, n in leaves}
+    buckets = max(16, math.ceil(sum(r.n for r in found) / IN_BUCKET))
     plan = [(s, lang, int(b // size[s, lang]), float(b - b // size[s, lang] * size[s, lang])) for (s, lang), b in budgets(leaves, want, total, stretch).items()]
     plan_df = spark.createDataFrame(plan, "source string, lang string, epochs int, rest double")
-    on = (F.col("d.source") == F.col("p.source")) & F.col("d.lang").eqNullSafe(F.col("p.lang"))
-    drawn = sized.alias("d").join(plan_df.alias("p"), on).select("d.*", "epochs", "rest")
-    drawn = drawn.withColumn("rank", F.xxhash64(F.lit(seed), F.col("epochs"), "doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("rank", 40), F.lit(BUCKETS)).cast("int"))
+    on = lambda x, y: (F.col(f"{x}.source") == F.col(f"{y}.source")) & F.col(f"{x}.lang").eqNullSafe(F.col(f"{y}.lang"))
+    drawn = sized.alias("d").join(plan_df.alias("p"), on("d", "p")).select("d.*", "epochs", "rest")
+    drawn = drawn.withColumn("rank", F.xxhash64(F.lit(seed), F.col("epochs"), "doc_id")).withColumn("bucket", F.pmod(F.shiftrightunsigned("rank", 20), F.lit(buckets)).cast("int"))
     leaf = Window.partitionBy("source", "lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = drawn.groupBy("source", "lang", "bucket").agg(F.sum("tokens").alias("in_bucket"))
-    before = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(leaf), F.lit(0)))
-    d, b = drawn.alias("d"), before.alias("b")
-    met = d.join(b, (F.col("d.source") == F.col("b.source")) & F.col("d.lang").eqNullSafe(F.col("b.lang")) & (F.col("d.bucket") == F.col("b.bucket"))).select("d.*", "before", "in_bucket")
-    met = met.withColumn("edge", (F.col("before") < F.col("rest")) & (F.col("before") + F.col("in_bucket") > F.col("rest")))
-    inside = Window.partitionBy("source", "lang", "bucket").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    on_edge = met.where("edge").withColumn("upto", F.col("before") + F.sum("tokens").over(inside)).withColumn("more", (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    off_edge = met.where("not edge").withColumn("more", (F.col("before") + F.col("in_bucket") <= F.col("rest")).cast("int"))
-    cols = ["doc_id", "source", "lang", "tokens", (F.col("epochs") + F.col("more")).alias("copies")]
-    return on_edge.select(*cols).unionByName(off_edge.select(*cols)).where("copies > 0")
+    sums = drawn.groupBy("source", "lang", "bucket", "rest").agg(F.sum("tokens").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(leaf), F.lit(0)))
+    edge = tmp.write(sums.where("before < rest").groupBy("source", "lang").agg(F.max("bucket").alias("edge"), F.min(F.col("rest") - F.col("before")).alias("left")))
+    left = edge.groupBy("source").agg(F.sum("left").alias("left"))
+    met = drawn.alias("d").join(edge.select("source", "lang", "edge").alias("e"), on("d", "e"), "left").select("d.*", (F.col("bucket") - F.col("edge")).alias("behind"))
+    cols = ["doc_id", "source", "lang", "tokens"]
+    at_end = met.where("behind in (0, 1)").join(left, "source").select(*cols, "epochs", "behind", "rank", "left")
+    filled = at_end.groupBy("source").applyInPandas(_top_up, "doc_id bigint, source string, lang string, tokens bigint, copies int")
+    plain = met.where("behind is null or behind not in (0, 1)").select(*cols, (F.col("epochs") + F.coalesce((F.col("behind") < 0).cast("int"), F.lit(0))).alias("copies"))
+    return filled.unionByName(plain).where("copies > 0")
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
-    """source, target_share, actual_share, tokens, documents, most_copies for each target."""
+    """source, target_share, actual_share, deviation, tokens, documents, most_copies for each target."""
     per = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     full = targets.select("source", "target_share").join(per, "source", "left").fillna(0, ["tokens", "documents", "most_copies"])
     everything = F.sum("tokens").over(Window.partitionBy(F.lit(0)))  # one row for each target
-    return full.withColumn("actual_share", F.when(everything > 0, F.col("tokens") / everything).otherwise(F.lit(0.0)))
+    actual = F.when(everything > 0, F.col("tokens") / everything).otherwise(F.lit(0.0))
+    return full.withColumn("actual_share", actual).withColumn("deviation", F.col("actual_share") - F.col("target_share"))

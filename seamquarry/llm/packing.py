@@ -35,7 +35,7 @@ class Bins:
             free = size + (fits & -fits).bit_length() - 1
             bin_ = self._take(free)
         else:
-            if self.count == self.limit:
+            if self.count == self.limit and size < self.capacity:  # a full container needs no place among the open ones
                 self._take((self.bits & -self.bits).bit_length() - 1)
             bin_, free = self.made, self.capacity
             self.made += 1

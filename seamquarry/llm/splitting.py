@@ -93,14 +93,14 @@ def cut(text: str, limit: int, overlap: int, markdown: bool) -> list[tuple[int,
     """(start, body_start, end) of each piece, in characters; one piece if the text is within the limit.
 
     text[start:end] has at most `limit` characters and starts with the `overlap` characters before body_start, all of which
-    the piece before holds; the bodies tile the text. An overlap of half the limit or more is lowered to just under half.
-    An empty text has one empty piece.
+    the piece before holds; the bodies tile the text. An overlap that leaves no room below the limit is an error, a negative
+    one is none. An empty text has one empty piece.
     """
-    if limit < 1:
-        raise ValueError("limit must be positive")
+    if limit < 1 or overlap >= limit:
+        raise ValueError("the limit must be positive and above the overlap")
     if len(text) <= limit:
         return [(0, 0, len(text))]
-    overlap = max(0, min(overlap, (limit - 1) // 2))
+    overlap = max(0, overlap)
     room = limit - overlap
     units: list[tuple[int, bool]] = []  # end, and whether a piece has to end there: beside a subtree that is too long for one
     todo = [(*n, False) for n in reversed(_tree(text, markdown))]
@@ -133,26 +133,30 @@ def cut(text: str, limit: int, overlap: int, markdown: bool) -> list[tuple[int,
     return pieces
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = [c.split()[0] for c in PIECES.split(", ")]
-    for b in batches:
-        out = []
-        for kind, item, text, limit, overlap, md in zip(b["item_kind"], b["item_id"], b["text"], b["max_chars"], b["overlap_chars"], b["markdown"]):
-            out += [(kind, item, k, s, body, e, e - s) for k, (s, body, e) in enumerate(cut(text, limit, overlap, md))]
-        yield pd.DataFrame(out, columns=cols)
+def _pieces(with_text: bool):
+    cols = [c.split()[0] for c in PIECES.split(", ")] + ["text"] * with_text
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for kind, item, text, limit, overlap, md in zip(b["item_kind"], b["item_id"], b["text"], b["max_chars"], b["overlap_chars"], b["markdown"]):
+                out += [(kind, item, k, s, body, e, e - s, *([text[s:e]] if with_text else [])) for k, (s, body, e) in enumerate(cut(text, limit, overlap, md))]
+            yield pd.DataFrame(out, columns=cols)
+
+    return run
 
 
 def oversized(items: DataFrame) -> DataFrame:
     """The items (item_kind, item_id, text, max_chars, overlap_chars, markdown) over their limit. Null texts, limits and ids never are."""
-    return items.where(F.col("item_id").isNotNull() & (F.length("text") > F.col("max_chars"))).withColumn("overlap_chars", F.coalesce("overlap_chars", F.lit(0)))
+    over = items.where(F.col("item_id").isNotNull() & (F.length("text") > F.col("max_chars")))
+    return over.select("item_kind", "item_id", "text", "max_chars", F.coalesce("overlap_chars", F.lit(0)).alias("overlap_chars"), "markdown")
 
 
 def piece_spans(items: DataFrame) -> DataFrame:
     """PIECES of each oversized item, whole texts whatever their length; repeated rows give their pieces once."""
-    return oversized(items).select("item_kind", "item_id", "text", "max_chars", "overlap_chars", "markdown").mapInPandas(_pieces, PIECES).distinct()
+    return oversized(items).mapInPandas(_pieces(False), PIECES).distinct()
 
 
 def split_items(items: DataFrame) -> DataFrame:
-    """PIECES and the text of each piece. The texts are cut in the JVM; only spans come back from Python."""
-    once = oversized(items).select("item_kind", "item_id", "text").groupBy("item_kind", "item_id").agg(F.first("text").alias("whole"))
-    return piece_spans(items).join(once, ["item_kind", "item_id"]).withColumn("text", F.expr("substring(whole, start + 1, n_chars)")).drop("whole")
+    """PIECES and the text of each piece, cut in the same pass. Only oversized items are shuffled, once, to take repeated rows out."""
+    return oversized(items).dropDuplicates(["item_kind", "item_id"]).mapInPandas(_pieces(True), f"{PIECES}, text string")

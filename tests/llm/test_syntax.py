@@ -93,3 +93,18 @@ def test_table(spark):
     assert {(r.request_id, r.valid) for r in done.collect()} == {(1, True), (2, False), (6, False)}
     assert {(r.repo, r.language, r.files, r.broken, r.rate) for r in S.rates(done).collect()} == {("r", "c", 2, 1, 0.5), (None, "python", 1, 1, 1.0)}
     assert S.checked(df.limit(0)).count() == 0
+
+
+def test_python_by_derivatives_alone():
+    good = ["x = f'{a['k']} {b!r:>{w}}'\n", 'y = f"{d["k"]} {{}} {x:{"<" + w}}"\n', "z = rf'\\d{n}'\n", "f = 'a' f'b' \"c\"\n", 'g = f"""{a["x"]}\n{b}"""\n', "h = f''\n"]
+    for t in good:
+        compile(t, "", "exec")
+        assert S.fault("python", t) is None, t
+    for t in ["x = 'a\n", "x = (1\n", "def f(:\n  pass\n", "if x:\npass\n"]:
+        assert S.fault("python", t) is not None, t
+
+
+@pytest.mark.parametrize("lang,deep", [("python", "x = " + "(" * 4000 + "1" + ")" * 4000 + "\n"), ("javascript", "x = " + "[" * 4000 + "]" * 4000 + ";"), ("c", "int x = " + "(" * 4000 + "1" + ")" * 4000 + ";"), ("go", "package a\nvar x = " + "(" * 4000 + "1" + ")" * 4000 + "\n")])
+def test_depth_is_no_fault(lang, deep):
+    assert S.fault(lang, deep) is None
+    assert S.fault(lang, deep[: len(deep) // 2]) is not None
