@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seamquarry.functions.text import SINK_CALLS
 from seamquarry.operators import c_facts as C
+from seamquarry.operators import c_flow as W
 from seamquarry.operators import graph as G
 
 
@@ -115,3 +116,75 @@ def test_c_facts(spark):
     files = df.select("request_id").withColumn("repo", F.lit("r"))
     linked = {(r.caller, r.symbol, r.target_request, r.resolution) for r in C.link(found, files).collect() if r.symbol == "helper"}
     assert linked == {("Box::fill", "helper", 1, "resolved")}
+
+
+FLOW = """static int leaf(void) { return 1; }
+typedef int (*hook)(int);
+int table_value = 3;
+static struct ops table = { .run = leaf, .stop = &halt };
+int declared(int a, int b = 2);
+_Noreturn void die(void) { exit(1); }
+int user(struct dev *d, int (*cb)(int), char *p)
+{
+    int (*fp)(int) = 0;
+    if (!d || d->ops == NULL)
+        return -1;
+    use(d);
+    if (p != NULL && p[0]) {
+        early(p);
+        p = next();
+        late(p);
+    } else {
+        otherwise(p);
+    }
+    fp = flag ? leaf : &outside;
+    fp(1);
+    cb(2);
+    {
+        int leaf = 5;
+        leaf(3);
+    }
+    leaf();
+    table_value(9);
+    while (d->more) { again(d); }
+    return 0;
+}
+void jumps(char *q) {
+    if (!q) goto out;
+    after(q);
+out:
+    done(q);
+}
+"""
+OTHER = "int outside(int a) { return a; }\nstatic int hidden(int a) { return a; }\nint twin(int a) { return hidden(a); }\nvoid caller(void) { twin(1); absent(1); user(0, 0, 0); }\n"
+
+
+def test_c_scopes_links_and_conditions(spark):
+    df = spark.createDataFrame([(1, "r", "a.c", FLOW), (2, "r", "b.c", OTHER), (3, "r", "c.c", "int twin(int a, int b) { return 0; }\nint twin2(void) { return hidden(1); }"), (4, "r", "u.h", "int user(struct dev *d, void *cb, char *p);\nint main(void);")], "request_id bigint, repo string, file_path string, snippet string")
+    found = C.extract(df).cache()
+    rows = found.collect()
+    got = {(r.caller, r.symbol, r.line): (r.kind, r.resolution, r.target_request) for r in C.link(found, df).collect() if r.symbol not in ("fp",)}
+    assert got["user", "leaf", 25] == ("shadowed", "shadowed", None) and got["user", "leaf", 27] == ("direct", "resolved", 1) and got["user", "table_value", 28] == ("shadowed", "shadowed", None)
+    assert got["user", "cb", 22] == ("indirect", "unresolved", None) and got["twin2", "hidden", 2] == ("direct", "unresolved", None) and got["twin", "hidden", 3] == ("direct", "resolved", 2)
+    assert got["caller", "twin", 4] == ("direct", "resolved", 2) and got["caller", "absent", 4][1] == "unresolved" and got["caller", "user", 4] == ("direct", "resolved", 1)
+    fp = {(r.target, r.target_request, r.resolution) for r in C.link(found, df).collect() if r.symbol == "fp"}
+    assert fp == {("leaf", 1, "ambiguous"), ("outside", 2, "ambiguous")}
+    of = lambda kind: {(r.function, r.line, r.symbol) for r in rows if r.kind == kind and r.request_id == 1}
+    assert {("user", 12, "d"), ("user", 12, "d.ops"), ("user", 14, "p"), ("user", 29, "d.more")} <= of("nonnull") and ("user", 16, "p") not in of("nonnull")
+    assert ("jumps", 34, "q") not in of("nonnull") and not [x for x in of("null") if x[1] == 18]
+    assert {(r.symbol, r.detail) for r in rows if r.kind == "condition" and r.line == 12} == {("!d||d.ops==NULL", "guard false")}
+    assert {x[2] for x in of("initialiser")} == {"leaf", "halt"} and {x[2] for x in of("global")} >= {"table_value", "table"} and {x[2] for x in of("noreturn")} == {"die"}
+    assert {(r.symbol, r.arguments) for r in rows if r.kind == "declaration" and r.request_id == 1} == {("declared", 1)}
+    assert {(r.name, r.file_path) for r in C.public_declarations(found, df).collect()} == {("user", "u.h"), ("main", "u.h")}
+    assert {(r.request_id, r.function) for r in C.entry_points(found, df).collect()} == {(1, "user"), (1, "leaf")}
+    assert {r.id for r in C.functions_of(found, df).where("request_id = 2").collect()} == {"b.c::outside", "b.c::hidden", "b.c::twin", "b.c::caller"}
+    spans = spark.createDataFrame([(1, "user", "p", 0, 10_000), (1, "user", "zz", 0, 10)], "request_id bigint, function string, path string, from_byte int, to_byte int")
+    assert {r.path: r.modified for r in C.modified_between(found, spans).collect()} == {"p": True, "zz": False}
+
+
+def test_null_facts():
+    N = W.null_facts
+    assert N("p", True) == {("p", False)} and N("!p", True) == {("p", True)} and N("p==NULL||q", False) == {("p", False), ("q", True)}
+    assert N("p&&!q.r", True) == {("p", False), ("q.r", True)} and N("p&&q", False) == set() and N("p||p", True) == {("p", False)}
+    assert N("(NULL!=(p))", True) == {("p", False)} and N("f(p)", True) == set() and N("a<b", True) == set() and N("!(p||q)", True) == {("p", True), ("q", True)}
+    assert W.choices("(c ? f : &g)") == ["f", "g"] and W.choices("a + b") == [] and W.folded("a -> b [ 1 ]  &  c :: d") == "a.b[1]&c::d"
