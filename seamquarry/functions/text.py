@@ -102,6 +102,13 @@ def call_names(text: Column, limit: int = 10) -> Column:
     return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)), 1, limit)
 
 
+def symbols(code: Column, prose: Column, limit: int = 8, longest: int = 64) -> Column:
+    """The first distinct names to look code up by: what it calls, its other names, then the prose's words; without stop words and names that are too long."""
+    every = lambda t, p, g: F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(p), g)
+    found = F.concat(every(code, r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\(", 1), every(code, "[A-Za-z_][A-Za-z0-9_]*", 0), every(prose, "[A-Za-z_][A-Za-z0-9_]{3,}", 0))
+    return F.slice(F.array_distinct(F.filter(found, lambda x: (F.length(x) <= longest) & ~F.lower(x).isin(STOP_TERMS))), 1, limit)
+
+
 def query_terms(text: Column) -> Column:
     """Lower-case search terms."""
     return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9_]+"), 0), F.lower)
@@ -208,3 +215,10 @@ def ignored(path: Column, patterns: list[str]) -> Column:
         rx = ("^" if anchored else "(?:^|/)") + body + ("/" if folder else "(?:/|$)")
         out = F.when(F.coalesce(path, F.lit("")).rlike(rx), not keep).otherwise(out)
     return out
+
+
+def multiset_hash(hexes: Column) -> Column:
+    """An aggregate of SHA-256 values in hex: a hash of all of them with their repeats, in no order. Four sums of 60 bits each
+    make it, so they are partial before the shuffle and no row ever lists what is hashed."""
+    part = lambda i: F.sum(F.conv(F.substring(hexes, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return F.sha2(F.concat_ws(" ", *map(part, range(4))), 256)

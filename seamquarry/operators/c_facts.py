@@ -10,12 +10,14 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import Scratch
 from . import c_flow
 
 FACTS = "request_id bigint, function string, kind string, symbol string, line int, start_byte int, arguments int, detail string, scope_start int, scope_end int"
@@ -145,8 +147,7 @@ def facts(text: str) -> Iterator[tuple]:
     m = masked(text)
     starts = [0, *(x.end() for x in re.finditer("\n", m))]
     line = lambda p: bisect_right(starts, p)
-    ascii_ = m.isascii() and text.isascii()
-    byte = (lambda p: p) if ascii_ else (lambda p: len(text[:p].encode()))
+    byte = (lambda p: p) if text.isascii() else list(accumulate((len(c.encode("utf-8", "replace")) for c in text), initial=0)).__getitem__
     found = list(definitions(m))
     for d in found:
         name, stop = d.name, d.end
@@ -242,7 +243,8 @@ def link(found: DataFrame, files: DataFrame) -> DataFrame:
     don't. One target is resolved, several are ambiguous and all kept, none is unresolved. Names are looked up once for each
     repository and not for each call. files: request_id, repo.
     """
-    f = found.join(files.select("request_id", "repo"), "request_id")
+    used = found.where("kind in ('call', 'value', 'global', 'reference', 'function')")
+    f = Scratch(found.sparkSession).write(used.join(files.select("request_id", "repo"), "request_id"))  # read from many sides
     calls = f.where("kind = 'call' and detail = 'direct'").select("request_id", "repo", "function", "symbol", "line", "start_byte", "arguments")
     placed = visible(calls, f.where("kind = 'value'"))
     file_values = f.where("kind = 'global'").select("request_id", "symbol").distinct().withColumn("of_file", F.lit(True))
@@ -290,6 +292,7 @@ def public_declarations(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def entry_points(found: DataFrame, files: DataFrame) -> DataFrame:
     """request_id, function: definitions that others can call (external and declared in a header of the repository, or `main`), or whose name a global's initial value holds."""
+    found = Scratch(found.sparkSession).write(found.where("kind in ('function', 'declaration', 'initialiser')"))
     f = found.join(files.select("request_id", "repo"), "request_id")
     defs = f.where("kind = 'function'").select("request_id", "repo", F.col("symbol").alias("name"), F.col("detail").alias("linkage"))
     public = public_declarations(found, files).select("repo", "name").distinct().withColumn("public", F.lit(True))

@@ -178,3 +178,50 @@ def diverse(paths: DataFrame, group: str, boundary: str, order: list[str], per_b
     first = g.withColumn("head", F.min(F.when(F.col("turn") == 1, key)).over(Window.partitionBy(group)))
     top = first.orderBy("turn", "head").limit(total)
     return top.withColumn("pick", F.row_number().over(Window.orderBy("turn", "head"))).drop("variant", "lead", "turn", "head")
+
+
+def source_paths(spark: SparkSession, e: DataFrame, sources: DataFrame, targets: DataFrame, most_nodes: int = 25) -> DataFrame:
+    """repo, target, source, path, hops: for each target (repo, id) the shortest path from a source, of equal ones the least when read from the target.
+
+    The walk goes from the targets, which are fewer, against the edges. A target that is a source has a path of itself; one that
+    no source reaches within `most_nodes` nodes has no row.
+    """
+    turned = e.select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    routes = shortest_routes(spark, turned, targets.select("repo", "id"), sources.select("repo", "id"), most_nodes)
+    best = routes.groupBy("repo", "start").agg(F.min(F.struct("hops", "path", "goal")).alias("b"))
+    return best.select("repo", F.col("start").alias("target"), F.col("b.goal").alias("source"), F.reverse("b.path").alias("path"), F.col("b.hops").alias("hops"))
+
+
+def focus(e: DataFrame, targets: DataFrame, paths: DataFrame) -> DataFrame:
+    """repo, id: the targets, the nodes of the paths (repo, path), and who calls a target or is called by one."""
+    t = targets.select("repo", "id").distinct()
+    called = e.join(t.withColumnRenamed("id", "src"), ["repo", "src"], "left_semi").select("repo", F.col("dst").alias("id"))
+    callers = e.join(t.withColumnRenamed("id", "dst"), ["repo", "dst"], "left_semi").select("repo", F.col("src").alias("id"))
+    return t.unionByName(paths.select("repo", F.explode("path").alias("id"))).unionByName(called).unionByName(callers).distinct()
+
+
+def ranked_paths(paths: DataFrame, group: list[str]) -> DataFrame:
+    """paths with `rank` in their group: those with a sink first, the more the better, then the shorter, then by file, line, name and path (sinks, file, line, name, path, hops given)."""
+    w = Window.partitionBy(*group).orderBy(F.col("sinks").desc(), "hops", "file", "line", "name", "path")
+    return paths.withColumn("rank", F.row_number().over(w))
+
+
+def levels(spark: SparkSession, n: DataFrame, e: DataFrame) -> DataFrame:
+    """repo, id, level: a topological order, each node one above the highest of those it follows (edges src before dst). A circle is an error.
+
+    Each round takes off the nodes that nothing left comes before, so the rounds are as many as the levels.
+    """
+    tmp = Scratch(spark)
+    left, rest, out, level = tmp.write(n.select("repo", "id").distinct()), tmp.write(e.select("repo", "src", "dst").distinct()), None, 0
+    count = left.count()
+    while count:
+        free = left.join(rest.select("repo", F.col("dst").alias("id")).distinct(), ["repo", "id"], "left_anti")
+        free = tmp.write(free.withColumn("level", F.lit(level)))
+        out = free if out is None else out.unionByName(free)
+        left = tmp.write(left.join(free.select("repo", "id"), ["repo", "id"], "left_anti"))
+        rest = tmp.write(rest.join(free.select("repo", F.col("id").alias("src")), ["repo", "src"], "left_anti"))
+        now, level = left.count(), level + 1
+        if now == count:
+            raise ValueError("the order has a circle")
+        count = now
+    return out if out is not None else left.withColumn("level", F.lit(0))

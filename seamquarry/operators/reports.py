@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -140,3 +140,34 @@ def operation_report(totals: DataFrame) -> DataFrame:
     """operation, total_tokens with tokens, the most first, then by name, numbered by rank: one row for each operation name."""
     t = totals.where("grouping = 6 and total_tokens > 0").select("operation", "total_tokens")
     return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total_tokens"), "operation")))
+
+
+def report_rows(f: DataFrame) -> DataFrame:
+    """finding_id and the columns of the findings report, without nulls."""
+    return f.select("finding_id", F.coalesce("file", F.lit("")).alias("File"), F.coalesce("line", F.lit(0)).alias("Line"), *(F.col(c.lower()).alias(c) for c in ("Severity", "CWE", "Issue", "Reasoning", "Mitigation")))
+
+
+def rebuilt(f: DataFrame, keep: DataFrame, key: str) -> DataFrame:
+    """The findings of the keep-set, as they were; groups that lose all of theirs are gone with them."""
+    return f.join(keep.select(key).distinct(), key, "left_semi")
+
+
+def applying(path: Column, scopes: list[str]) -> Column:
+    """The scopes that apply to a path: `repository` and empty ones to all, those with * ? or [ as globs, others to that path and what is below it."""
+    tests = []
+    for s in scopes:
+        bare = s.rstrip("/")
+        if s in ("", "repository"):
+            hit = F.lit(True)
+        elif any(c in s for c in "*?["):
+            hit = path.rlike(T.glob_regex(s))
+        else:
+            hit = (path == bare) | path.startswith(bare + "/")
+        tests.append(F.when(hit, F.lit(s)))
+    return F.array_compact(F.array(*tests))
+
+
+def folded_status(df: DataFrame, group: str, status: str) -> DataFrame:
+    """group, ended, status: ok if all are, inconclusive if some are, else failed."""
+    g = df.groupBy(group).agg(F.count(F.lit(1)).alias("ended"), F.count_if(F.col(status) == "ok").alias("ok"))
+    return g.select(group, "ended", F.when(F.col("ok") == F.col("ended"), "ok").when(F.col("ok") > 0, "inconclusive").otherwise("failed").alias("status"))

@@ -156,6 +156,11 @@ def gathered(findings: DataFrame, files: DataFrame) -> DataFrame:
     return asked.join(files.select("path", "source"), "path", "left").select("path", "source", "asked")
 
 
+def _whole(x) -> int | None:
+    """A number that came through a column with nulls."""
+    return None if x is None or x != x else int(x)
+
+
 def locate_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
     """finding_id and ANCHOR: findings (finding_id, path, code_snippet, start_line, end_line, context) in files (path, source).
 
@@ -170,7 +175,7 @@ def locate_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
             for path, source, asked in zip(b["path"], b["source"], b["asked"]):
                 here = Located(source, bool(re.search(C_ENDINGS, path or "", re.I))) if source else None
                 for x in asked:
-                    got = here.find(x["code_snippet"], x["start_line"], x["end_line"], x["context"] or "") if here and x["code_snippet"] else ("unresolved", None, None)
+                    got = here.find(x["code_snippet"], _whole(x["start_line"]), _whole(x["end_line"]), x["context"] or "") if here and x["code_snippet"] else ("unresolved", None, None)
                     out.append((x["finding_id"], *(here.anchor(*got) if here else (*got, None, None, None, None))))
             yield pd.DataFrame(out, columns=cols).astype(whole)
 
@@ -217,9 +222,9 @@ def functions_at(findings: DataFrame, files: DataFrame, max_chars: int = 6000) -
             for source, asked in zip(b["source"], b["asked"]):
                 here = Located(source or "", True)
                 for x in asked:
-                    if x["start_line"] is not None:
-                        a, z = nearest_span(here.spans, x["start_line"]) or (None, None)
-                        out.append((x["finding_id"], a, z, function_text(here.lines, here.spans, x["start_line"], max_chars)))
+                    if (line := _whole(x["start_line"])) is not None:
+                        a, z = nearest_span(here.spans, line) or (None, None)
+                        out.append((x["finding_id"], a, z, function_text(here.lines, here.spans, line, max_chars)))
             yield pd.DataFrame(out, columns=["finding_id", "first_line", "last_line", "shown"]).astype({"first_line": "Int32", "last_line": "Int32"})
 
     return gathered(asked, files).mapInPandas(run, "finding_id bigint, first_line int, last_line int, shown string")

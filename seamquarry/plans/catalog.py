@@ -128,18 +128,14 @@ def file_fingerprint(spark, d):
     return requests(spark, d).where("snippet is not null").select("request_id", F.sha2("snippet", 256).alias("file_hash"))
 
 
-@query(
-    f"""WITH h AS (SELECT repo, file_path, sha256(snippet) AS s, (ascii(substr(sha256(file_path), 1, 1)) * 256 + ascii(substr(sha256(file_path), 2, 1))) AS b FROM {REQ} WHERE snippet IS NOT NULL),
-    p AS (SELECT repo, b, sha256(string_agg(file_path || ' ' || s, chr(10) ORDER BY file_path, s)) AS x FROM h GROUP BY repo, b)
-    SELECT repo, sha256(string_agg(x, chr(10) ORDER BY b)) AS fingerprint FROM p GROUP BY repo"""
-)
+_MULTISET = lambda h: "sha256(concat_ws(' ', " + ", ".join(f"sum(('0x' || substr({h}, {1 + 15 * i}, 15))::UBIGINT::HUGEINT)::VARCHAR" for i in range(4)) + "))"
+
+
+@query(f"SELECT repo, {_MULTISET('h')} AS fingerprint FROM (SELECT repo, sha256(file_path || ' ' || sha256(snippet)) AS h FROM {REQ} WHERE snippet IS NOT NULL) GROUP BY repo")
 def repo_fingerprint(spark, d):
-    """A tree of hashes: each repository's files fall into 256 branches, so no row ever lists a whole repository."""
-    p = F.sha2("file_path", 256)
-    h = requests(spark, d).where("snippet is not null").select("repo", (F.ascii(p) * 256 + F.ascii(F.substring(p, 2, 1))).alias("b"), F.struct("file_path", F.sha2("snippet", 256).alias("s")).alias("x"))
-    g = h.groupBy("repo", "b").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    x = F.sha2(F.array_join(F.transform("xs", lambda v: F.concat(v["file_path"], F.lit(" "), v["s"])), "\n"), 256)
-    return g.select("repo", F.struct("b", x.alias("x")).alias("y")).groupBy("repo").agg(F.array_sort(F.collect_list("y")).alias("ys")).select("repo", F.sha2(F.array_join(F.col("ys.x"), "\n"), 256).alias("fingerprint"))
+    """A hash of each repository's files, in no order, from sums that are partial before the shuffle."""
+    h = requests(spark, d).where("snippet is not null").select("repo", F.sha2(F.concat("file_path", F.lit(" "), F.sha2("snippet", 256)), 256).alias("h"))
+    return h.groupBy("repo").agg(T.multiset_hash(F.col("h")).alias("fingerprint"))
 
 
 @query(f"SELECT request_id, line, line_text FROM {LINES} WHERE regexp_matches(line_text, 'memcpy\\s*\\(')")
@@ -155,9 +151,11 @@ def grep_calls(spark, d):
     FROM w JOIN {LINES} l USING (request_id) WHERE l.line BETWEEN a AND b GROUP BY finding_id, request_id"""
 )
 def context_window(spark, d):
-    q = requests(spark, d).select("repo", F.col("file_path").alias("file"), "request_id", T.lines_of(F.col("snippet")).alias("ls")).where(F.size("ls") > 0)
-    f = source_text.once(table(spark, d, "review_findings"), "finding_id").where("line is not null").select("finding_id", "repo", "file", "line")
-    return f.join(q, ["repo", "file"]).select("finding_id", "request_id", T.window_lines(F.col("ls"), F.col("line"), 2).alias("context"))
+    """The lines around each finding's. A finding meets only the five lines it shows, not its file's text."""
+    r = requests(spark, d)
+    n = r.select("repo", F.col("file_path").alias("file"), "request_id", F.size(T.lines_of(F.col("snippet"))).alias("n_lines")).where("n_lines > 0")
+    f = source_text.once(table(spark, d, "review_findings"), "finding_id").where("line is not null").select("finding_id", "repo", "file", "line").join(n, ["repo", "file"])
+    return source_text.windows(f, source_text.line_index(r, "request_id", "snippet"), "finding_id", "request_id", 2).withColumnRenamed("shown", "context")
 
 
 @query()
@@ -207,9 +205,26 @@ def chunk_anchors(spark, d):
     return snippets.chunk_anchors(r, source_text.chunks(r, "request_id", "snippet", "halved", 256), "request_id", "snippet")
 
 
-@query()
+def _patches(spark: SparkSession, d: str) -> DataFrame:
+    """A patch that adds each file."""
+    r = requests(spark, d).select("request_id", T.repo_path(F.col("file_path")).alias("path"), T.lines_of(F.col("snippet")).alias("ls")).where("size(ls) > 0")
+    body = F.array_join(F.transform("ls", lambda x: F.concat(F.lit("+"), x)), "\n")
+    head = F.concat(F.lit("diff --git a/"), "path", F.lit(" b/"), "path", F.lit("\n--- /dev/null\n+++ b/"), "path", F.lit("\n@@ -0,0 +1,"), F.size("ls"), F.lit(" @@\n"))
+    return r.select("request_id", F.concat(head, body).alias("patch"))
+
+
+_PATH = f"(SELECT request_id, regexp_replace(regexp_replace(regexp_replace(file_path, '\\\\', '/', 'g'), '^(\\./+)+', ''), '/{{2,}}', '/', 'g') AS path FROM {REQ})"
+
+
+@query(f"SELECT request_id, path, 'added' AS file_status, 1 AS hunk, line AS line_no, '+' AS op, line_text AS value FROM {LINES} JOIN {_PATH} USING (request_id)")
 def patch_lines(spark, d):
-    return source_text.diff_lines(requests(spark, d), "request_id", "snippet")
+    """The lines of patches that add each file, read back from the patches' text."""
+    return source_text.diff_lines(_patches(spark, d), "request_id", "patch")
+
+
+@query(f"SELECT request_id, any_value(path) AS path, sha256(string_agg(line_text, chr(10) ORDER BY line)) AS added_hash FROM {LINES} JOIN {_PATH} USING (request_id) GROUP BY request_id")
+def added_text(spark, d):
+    return source_text.added_text(source_text.diff_lines(_patches(spark, d), "request_id", "patch"), "request_id").select("request_id", "path", F.sha2("added", 256).alias("added_hash"))
 
 
 @query(
@@ -407,9 +422,18 @@ def no_caller_sources(spark, d):
     return graph.automatic_sources(_nodes(spark, d), _edges(spark, d))
 
 
-@query()
+_SINKS = ", ".join(f"('{c}', '{k}')" for k, cs in T.SINK_CALLS.items() for c in cs.split())
+
+
+@query(
+    rf"""WITH c AS (SELECT DISTINCT repo, file_path AS id, lower(unnest(regexp_extract_all(snippet, '\b([A-Za-z_][A-Za-z0-9_]*)\s*\(', 1))) AS call FROM {REQ} WHERE snippet IS NOT NULL), k(call, sink_type) AS (VALUES {_SINKS})
+    SELECT repo, id, call, sink_type FROM c JOIN k USING (call) QUALIFY row_number() OVER (PARTITION BY repo, id ORDER BY call) = 1"""
+)
 def external_sinks(spark, d):
-    return graph.external_sinks(graph.resolve_calls(_nodes(spark, d)), T.SINK_CALLS)
+    """Files as nodes of a graph: the first sensitive outside function, by name, that each calls."""
+    calls = F.regexp_extract_all("snippet", F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), 1)
+    n = requests(spark, d).where("snippet is not null").select("repo", F.col("file_path").alias("id"), "file_path", F.concat(F.lit("file "), "file_path").alias("name"), F.transform(calls, F.lower).alias("calls"))
+    return graph.external_sinks(graph.resolve_calls(n), T.SINK_CALLS)
 
 
 @query(f"SELECT n.repo, count(DISTINCT n.id) AS nodes, (SELECT count(*) FROM {_EDGES} e WHERE e.repo = n.repo) AS edges FROM {_NODES} n GROUP BY n.repo")
@@ -514,12 +538,16 @@ def namespaces(spark, d):
 
 
 @query(
-    f"""SELECT request_id, regexp_extract(file_path, '[^/\\\\]+$') AS name FROM {REQ} WHERE snippet IS NOT NULL AND starts_with(file_path, 'src/') ORDER BY lower(file_path), request_id LIMIT 20"""
+    f"""WITH a AS (SELECT DISTINCT regexp_extract(file, '[^/\\\\]+$') AS name FROM {FIND} WHERE finding_id % 20 = 0)
+    SELECT name, request_id, row_number() OVER (PARTITION BY name ORDER BY lower(file_path), file_path, request_id) AS place FROM {REQ} JOIN a ON name = regexp_extract(file_path, '[^/\\\\]+$') QUALIFY place <= 20"""
 )
-def find_name(spark, d):
-    """The first twenty files under a folder, by name whatever its case: the limit is the feature."""
-    r = requests(spark, d).where("snippet is not null").where(F.col("file_path").startswith("src/"))
-    return r.orderBy(F.lower("file_path"), "request_id").limit(20).select("request_id", F.regexp_extract("file_path", r"[^/\\]+$", 0).alias("name"))
+def find_names(spark, d):
+    """The files of exactly the names asked for, at most twenty a name, by path whatever its case: the limit is the feature. Asked: the files of every twentieth finding."""
+    name = lambda c: F.regexp_extract(c, r"[^/\\]+$", 0)
+    asked = source_text.once(table(spark, d, "review_findings"), "finding_id").where("finding_id % 20 = 0").select(name("file").alias("name")).distinct()
+    r = requests(spark, d).select("request_id", "file_path", name("file_path").alias("name")).join(asked, "name")
+    w = Window.partitionBy("name").orderBy(F.lower("file_path"), "file_path", "request_id")
+    return r.withColumn("place", F.row_number().over(w)).where("place <= 20").select("name", "request_id", "place")
 
 
 # Facts from C and C++
@@ -584,11 +612,11 @@ def stream_spans(spark, d):
     return trace.drain(spark, trace.paired_spans(trace.read_stream(spark, f"{d}/runlog.parquet")))
 
 
-@query()
+@query("SELECT event_type, epoch_us(date_trunc('hour', ts))::BIGINT AS window_us, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def stream_window_counts(spark, d):
-    """Extension: tumbling windows of events under a watermark; windows still open at the end are not out yet, as append mode means."""
+    """Extension: hourly windows of events, counted by a stream; every event and every window."""
     s = trace.read_stream(spark, f"{d}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    return trace.drain(spark, trace.window_counts(s, "ts", "event_type", "1 hour", "1 hour"))
+    return trace.drain_whole(spark, trace.window_counts(s, "ts", "event_type")).select("event_type", F.unix_micros("window_start").alias("window_us"), "n")
 
 
 # Evidence
@@ -680,9 +708,19 @@ def _listed(spark: SparkSession, d: str, kind: str) -> DataFrame:
 _LAST = "(SELECT DISTINCT repo, kind, identity AS file_path FROM codegraph_records JOIN (SELECT repo, max(graph_revision) AS graph_revision FROM codegraph_records GROUP BY repo) USING (repo, graph_revision))"
 
 
-@query(f"SELECT repo, 'unprocessed_file' AS problem, count(*) AS n FROM {_NODES} n WHERE file_path IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {_LAST} p WHERE p.kind = 'processed' AND p.repo = n.repo AND p.file_path = n.file_path) GROUP BY repo UNION ALL SELECT repo, 'duplicate_id', count(*) FROM (SELECT repo, id FROM {_NODES} GROUP BY repo, id HAVING count(*) > 1) GROUP BY repo")
+@query(
+    f"""WITH n AS (SELECT run_id AS repo, span_id AS id, record_id, name FROM (SELECT DISTINCT ON (record_id) * FROM runlog WHERE record = 'span.start' AND run_id IS NOT NULL AND span_id IS NOT NULL)), e AS (SELECT DISTINCT * FROM {_SPANS})
+    SELECT repo, 'unknown_target' AS problem, count(*) AS n FROM e WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.repo = e.repo AND n.id = e.src) GROUP BY repo
+    UNION ALL SELECT repo, 'duplicate_id', count(*) FROM (SELECT repo, id FROM n GROUP BY repo, id HAVING count(*) > 1) GROUP BY repo
+    UNION ALL SELECT repo, 'unprocessed_file', count(*) FROM n WHERE name NOT IN (SELECT DISTINCT name FROM runlog WHERE record = 'event' AND name IS NOT NULL) GROUP BY repo"""
+)
 def graph_validation(spark, d):
-    return evidence.graph_problems(_nodes(spark, d), _edges(spark, d), _listed(spark, d, "processed"))
+    """The traces as graphs: spans that a parent's name leads to nothing for, that start twice, or whose name no event has."""
+    log = source_text.once(table(spark, d, "runlog").where("record = 'span.start' and run_id is not null and span_id is not null"), "record_id")
+    n = log.select(F.col("run_id").alias("repo"), F.col("span_id").alias("id"), F.col("name").alias("file_path"))
+    e = _span_edges(spark, d).select("repo", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    named = table(spark, d, "runlog").where("record = 'event' and name is not null").select(F.col("name").alias("file_path")).distinct()
+    return evidence.graph_problems(n, e, n.join(named, "file_path", "left_semi").select("repo", "file_path"))
 
 
 @query(
@@ -752,10 +790,3 @@ def configured_sinks(spark, d):
     """Functions that call a name of a configured family, whatever its case."""
     c = _nodes(spark, d).select("repo", "id", F.explode("calls").alias("symbol")).where(F.lower("symbol").startswith("release_"))
     return c.groupBy("repo", "id").agg(F.min("symbol").alias("symbol"))
-
-
-@query(f"SELECT finding_id, trim(regexp_extract(reasoning, 'Evidence:([^.]*)', 1)) AS evidence, regexp_matches(reasoning, 'Evidence:') AS marked FROM {NORM}")
-def reasoning_parts(spark, d):
-    """The marked part of a reasoning text, empty where there is none."""
-    r = F.col("reasoning")
-    return findings(spark, d).select("finding_id", F.trim(F.regexp_extract(r, r"Evidence:([^.]*)", 1)).alias("evidence"), r.rlike("Evidence:").alias("marked"))

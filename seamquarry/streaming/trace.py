@@ -76,9 +76,23 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataF
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def window_counts(stream: DataFrame, ts: str, key: str, width: str = "1 hour", late: str = "30 days") -> DataFrame:
-    """key, window_start, n: tumbling windows under a watermark. Rows later than that are dropped by the stream, as a watermark means."""
-    w = stream.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"))
+def drain_whole(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """Run an aggregating stream over everything that is there and give its whole last result, in complete mode: nothing is late
+    and no window stays open. The state holds a row for each group."""
+    tmp = Scratch(spark)
+    out = f"{tmp.base}/whole"
+    q = stream.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n:09d}")).option("checkpointLocation", f"{tmp.base}/progress").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    done = (q.lastProgress or {}).get("batchId")
+    got = spark.read.schema(stream.schema).parquet(f"{out}/batch={done:09d}") if done is not None else spark.createDataFrame([], stream.schema)
+    return got.select(*stream.columns)
+
+
+def window_counts(stream: DataFrame, ts: str, key: str, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """key, window_start, n: tumbling windows. With `late` under a watermark, which drops what is later than that and keeps only
+    open windows in its state; without, for a stream that is drained, every row counts."""
+    rows = stream.withWatermark(ts, late) if late else stream
+    w = rows.groupBy(F.window(ts, width), key).agg(F.count(F.lit(1)).alias("n"))
     return w.select(key, F.col("window.start").alias("window_start"), "n")
 
 

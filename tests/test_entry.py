@@ -5,7 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
-from seamquarry.plans import catalog, problems
+from seamquarry.plans import catalog, problems, stores
 from seamquarry.session import shared_dir
 
 
@@ -19,7 +19,7 @@ def test_registry():
     assert set(E.oracle_sql()) <= set(E.queries()) and len(E.queries()) > 50
 
 
-CORE = {**problems.ORACLE, **catalog.ORACLE}
+CORE = {**problems.ORACLE, **catalog.ORACLE, **stores.ORACLE}
 
 
 def test_scratch_needs_a_shared_folder():

@@ -76,11 +76,11 @@ def test_usage_of_attributes_encoded_twice(spark, tmp_path):
     texts = [one(10), json.dumps(one(200)), "\ufeff" + one(3000), "\ufeff" + json.dumps("\ufeff" + one(40_000)), " " + one(500_000), "{", '"{"', "[1]", '"x"', None]
     rows = [(f"r{i}", "s", "event", "usage", t) for i, t in enumerate(texts)]
     spark.createDataFrame(rows + rows[:2], "record_id string, run_id string, record string, name string, attributes string").write.parquet(f"{tmp_path}/runlog.parquet")
-    got = [tuple(r) for r in catalog.QUERIES["usage_by_operation_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.QUERIES["usage_by_operation"](spark, str(tmp_path)).collect()]
     assert got == [("op", 543_215, 1)]
     con = duckdb.connect()
     con.execute(f"create view runlog as select * from '{tmp_path}/runlog.parquet/*.parquet'")
-    assert con.execute(catalog.ORACLE["usage_by_operation_all"]).fetchall() == got
+    assert con.execute(catalog.ORACLE["usage_by_operation"]).fetchall() == got
 
 
 def test_nearest_matches_brute_force(spark):
@@ -128,4 +128,5 @@ def test_files(spark, tmp_path):
     assert [r.code for r in S.notebook_code(nb, "t").collect()] == ["# Cell 1\na\nb\n\n# Cell 2\nc", "not json", None]
     S.write_csv(rows(spark), str(tmp_path / "csv"))
     assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv")).columns == ["File", "Line", "Severity", "CWE", "Issue", "Reasoning", "Mitigation", "Confidence"]
-    assert "<\\/b>" in S.html_report("t", {"x": spark.createDataFrame([("</b>",)], "v string")})
+    S.write_html(spark, "<t>", {"x": spark.range(3000).withColumn("v", F.lit("</b>"))}, str(tmp_path / "page"))
+    assert "&lt;t&gt;" in (tmp_path / "page/index.html").read_text() and spark.read.json(str(tmp_path / "page/data/x")).count() == 3000
