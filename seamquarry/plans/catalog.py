@@ -165,7 +165,15 @@ def token_chunks(spark, d):
 
 @query()
 def line_chunks(spark, d):
-    return source_text.chunks(requests(spark, d), "request_id", "snippet", "lines")
+    """Windows of lines by the profile of each file's ending."""
+    r = requests(spark, d).withColumn("profile", source_text.profile(F.col("file_path")))
+    return source_text.chunks(r, "request_id", "snippet", "lines")
+
+
+@query()
+def doc_chunks(spark, d):
+    """Documents in chunks of whole sentences."""
+    return source_text.chunks(table(spark, d, "documents"), "doc_id", "text", "sentences", 1024)
 
 
 def _by_path(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -333,7 +341,22 @@ def annotated_findings(spark, d):
     return reports.annotate(findings(spark, d), notes, "run_id").select("finding_id", "records")
 
 
-@query()
+_SARIF = r"""x AS (SELECT DISTINCT ON (report_id) report_id, ltrim(payload, chr(65279)) AS p FROM sarif_reports),
+    y AS (SELECT report_id, CASE WHEN starts_with(p, '"') AND json_valid(p) THEN ltrim(CASE WHEN json_valid(p) THEN p ELSE 'null' END ->> '$', chr(65279)) ELSE p END AS p FROM x),
+    v AS (SELECT report_id, p::JSON AS v FROM (SELECT report_id, CASE WHEN json_valid(p) THEN p ELSE 'null' END AS p FROM y) WHERE json_type(p) = 'OBJECT'),
+    r AS (SELECT report_id, unnest(l) AS run, unnest(range(len(l))) AS run_index FROM (SELECT report_id, json_extract(v, '$.runs[*]') AS l FROM v WHERE json_type(v, '$.runs') = 'ARRAY')),
+    t AS (SELECT report_id, run_index, run, unnest(l) AS r, unnest(range(len(l))) AS result_index FROM (SELECT *, json_extract(run, '$.results[*]') AS l FROM r WHERE json_type(run, '$.results') = 'ARRAY'))"""
+
+
+@query(
+    rf"""WITH {_SARIF} SELECT report_id, run_index::INT AS run_index, result_index::INT AS result_index, coalesce(r ->> '$.ruleId', '') AS rule_id,
+    coalesce(CASE WHEN json_type(r, '$.message') = 'OBJECT' THEN r ->> '$.message.text' ELSE r ->> '$.message' END, '') AS message,
+    coalesce(r ->> '$.locations[0].physicalLocation.artifactLocation.uri', '') AS file_path,
+    CASE WHEN try_cast(r ->> '$.locations[0].physicalLocation.region.startLine' AS INT) > 0 THEN try_cast(r ->> '$.locations[0].physicalLocation.region.startLine' AS INT) ELSE 1 END AS line,
+    coalesce(r ->> '$.locations[0].physicalLocation.region.snippet.text', '') AS snippet,
+    CASE WHEN trim(coalesce(run ->> '$.tool.driver.name', '')) <> '' THEN trim(run ->> '$.tool.driver.name') ELSE trim(coalesce(run ->> '$.tool.driver.fullName', '')) END AS source_tool
+    FROM t WHERE json_type(r) = 'OBJECT' AND coalesce(try_cast(r ->> '$.properties.triaged' AS BOOLEAN), false) IS NOT TRUE"""
+)
 def sarif_flatten(spark, d):
     return reports.sarif_findings(source_text.once(table(spark, d, "sarif_reports"), "report_id"))
 
@@ -696,7 +719,13 @@ def last_record_before(spark, d):
     return evidence.latest_before(f, last, ["run_id"], "ts", "record_id").select("id", "record_id")
 
 
-@query()
+_CELL = lambda c: f"coalesce(to_json({c}::VARCHAR)::VARCHAR, 'null')"
+
+
+@query(
+    f"""SELECT repo, {_MULTISET('h')} AS fingerprint FROM (SELECT n.repo, sha256('{{"id":' || {_CELL('id')} || ',"name":' || {_CELL('name')} || ',"line":' || {_CELL('line')} || ',"is_source":' || {_CELL('is_source')} || ',"is_sink":' || {_CELL('is_sink')} || '}}') AS h
+    FROM (SELECT n.*, l.line FROM {_NODES} n JOIN (SELECT DISTINCT repo, identity AS id, json_extract_string(payload, '$.line_number') AS line FROM codegraph_records JOIN (SELECT repo, max(graph_revision) AS graph_revision FROM codegraph_records GROUP BY repo) USING (repo, graph_revision) WHERE kind = 'node') l USING (repo, id)) n) GROUP BY repo"""
+)
 def graph_fingerprint(spark, d):
     return evidence.table_fingerprint(_nodes(spark, d), "repo", ["id", "name", "line", "is_source", "is_sink"])
 
@@ -734,7 +763,11 @@ def build_coverage(spark, d):
     return evidence.coverage(_listed(spark, d, "processed"), _listed(spark, d, "failed"), asked)
 
 
-@query()
+@query(
+    r"""WITH x AS (SELECT DISTINCT ON (report_id) report_id, ltrim(payload, chr(65279)) AS p FROM sarif_reports), v AS (SELECT report_id, coalesce(json_valid(p), false) AS ok, CASE WHEN json_valid(p) THEN p ELSE 'null' END AS p FROM x)
+    SELECT report_id, 'not_json' AS problem FROM v WHERE NOT ok UNION ALL SELECT report_id, 'not_an_object' FROM v WHERE ok AND json_type(p) <> 'OBJECT'
+    UNION ALL SELECT report_id, 'version' FROM v WHERE json_type(p) = 'OBJECT' AND coalesce(p ->> '$.version', '') <> '2.1.0' UNION ALL SELECT report_id, 'no_runs' FROM v WHERE json_type(p) = 'OBJECT' AND coalesce(json_type(p, '$.runs'), '') <> 'ARRAY'"""
+)
 def sarif_validation(spark, d):
     return evidence.sarif_problems(source_text.once(table(spark, d, "sarif_reports"), "report_id"))
 

@@ -19,7 +19,9 @@ def violations(log: DataFrame) -> DataFrame:
     no_start, no_end, many_starts, many_ends, unknown_parent, ends_after_parent, unstable (kind, name or parent differ between
     start and end, nulls too), bad_status, bad_duration, event_outside (its span is unknown or over), roots (not exactly one run span).
     """
-    r = once(log.where("run_id is not null and record_id is not null"), "record_id")
+    tmp = Scratch(log.sparkSession)
+    used = ["run_id", "record_id", "record", "span_id", "parent_span_id", "seq", "kind", "name", "status", "duration_ms"]
+    r = tmp.write(once(log.where("run_id is not null and record_id is not null").select(*used), "record_id"))  # read from many sides, so written once
     spans = r.where("record in ('span.start', 'span.end') and span_id is not null")
     start, end = F.col("record") == "span.start", F.col("record") == "span.end"
     parent = F.when(F.col("parent_span_id") != "", F.col("parent_span_id"))
@@ -29,6 +31,7 @@ def violations(log: DataFrame) -> DataFrame:
         *(F.countDistinct(F.coalesce(F.col(c), F.lit(""))).alias(f"d_{c}") for c in ("kind", "name", "parent_span_id")),
         F.count_if(end & ~F.coalesce(F.col("status").isin(STATUSES), F.lit(False))).alias("bad_status"), F.count_if(end & ~F.coalesce(F.col("duration_ms") >= 0, F.lit(False))).alias("bad_duration"),
     )
+    s = tmp.write(s)
     up = s.select("run_id", F.col("span_id").alias("parent"), F.lit(True).alias("known"), F.col("e_seq").alias("p_end"))
     s = s.join(up, ["run_id", "parent"], "left")
     both = (F.col("starts") > 0) & (F.col("ends") > 0)

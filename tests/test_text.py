@@ -94,6 +94,23 @@ def test_byte_offsets_follow_the_text_as_it_is(spark):
 SOURCE = "int f() {\n  a();\n  return 0;\n}\nint g() {\n  b();\n  other(1);\n  return 0;\n}\n"
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab. \n!", max_size=300), st.integers(2, 20))
+def test_sentences_cover_the_text(text, limit):
+    parts, at = S.by_sentences(text, limit, limit // 3, 2.0), 0
+    for p, first in parts:
+        place = text.find(p, max(0, at - len(p)))
+        assert 0 <= place <= at and len(p) <= limit * 2 and p
+        at = max(at, place + len(p))
+    assert at == len(text)
+
+
+def test_profiles(spark):
+    df = spark.createDataFrame([(1, "x\n" * 100, "a.sv"), (2, "x\n" * 100, "a.c"), (3, "x\n" * 100, "a.td")], "id bigint, t string, p string").withColumn("profile", S.profile(F.col("p")))
+    n = {r.id: r["count"] for r in S.chunks(df, "id", "t", "lines").groupBy("id").count().collect()}
+    assert n == {1: 2, 2: 4, 3: 2}
+
+
 def test_locate():
     here = N.Located(SOURCE, True)
     assert here.find("a();", 2, 2) == ("exact", 2, 2) and here.find("  b();") == ("exact", 6, 6)
