@@ -16,6 +16,7 @@ what stands around them up to white space, digits folded, so that `(U+FFFD)` in
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 from ..session import Scratch
 
+#: Distinct words whose garbled forms one task makes.
+WORDS_A_TASK = 20_000
 RATIO = 3
 # Encodings by their names in Python's codec registry.
 WRITTEN = ["utf-8", "cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp437", "cp850", "cp852", "cp866", "mac-roman", "shift_jis", "euc_jp"]
@@ -127,7 +130,8 @@ def damage(spark: SparkSession, documents: DataFrame) -> DataFrame:
     held = tmp.write(held.mapInPandas(_doc_tokens, "doc_id bigint, text_hash bigint, words array<string>"))
     texts = held.groupBy("text_hash").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("docs"))
     vocabulary = tmp.write(texts.select("docs", F.explode("words").alias("word")).groupBy("word").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts")))
-    forms = vocabulary.mapInPandas(_forms, "form string, original string, chain string, original_docs bigint, original_texts bigint")
+    spread = vocabulary.repartition(max(8, math.ceil(vocabulary.count() / WORDS_A_TASK)))  # few bytes, but dozens of forms each
+    forms = spread.mapInPandas(_forms, "form string, original string, chain string, original_docs bigint, original_texts bigint")
     met = forms.join(vocabulary.select(F.col("word").alias("form"), F.col("docs").alias("form_docs"), F.col("texts").alias("form_texts")), "form")
     utf = F.col("chain").startswith("utf-8>")
     sure = utf & ~F.col("form").contains(LOST) | F.col("form").rlike(r"[\p{L}\p{N}]\x{FFFD}|\x{FFFD}[\p{L}\p{N}]")

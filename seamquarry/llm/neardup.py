@@ -332,7 +332,7 @@ def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[
     n_buckets = max(16, math.ceil(n / RECORDS_A_BUCKET))
     keys = _keys({(r.own, r.other, r.level): r.n for r in crowds}, t, n_buckets, hot)
     packed = features.drop("budgets").mapInPandas(keys, "bucket int, keys binary, owners binary, cids binary, sketches binary, sizes binary")
-    candidates = tmp.write(packed.groupBy("bucket").applyInPandas(_meet(t), "a bigint, b bigint").distinct())
+    candidates = tmp.write(packed.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_meet(t), "a bigint, b bigint").distinct())
     tmp.drop(features)
     met = candidates.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     needed = tmp.write(number(sets.join(met, "cid", "left_semi")))

@@ -148,9 +148,22 @@ p AS (SELECT a.finding_id AS a, b.finding_id AS b, count(*) AS k FROM w a JOIN w
 SELECT a AS finding_id_a, b AS finding_id_b FROM p JOIN n x ON x.finding_id = a JOIN n y ON y.finding_id = b WHERE k >= 0.75 * (x.n + y.n - k)"""
 
 
+_CLASSES = """
+WITH RECURSIVE f AS (SELECT finding_id, lower(concat_ws(' ', coalesce(any_value(issue), ''), coalesce(any_value(reasoning), ''), coalesce(any_value(mitigation), ''))) AS t FROM review_findings GROUP BY finding_id),
+k AS MATERIALIZED (SELECT finding_id, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '[a-z0-9_]+'))), ' ') AS ws FROM f),
+c AS MATERIALIZED (SELECT finding_id, min(finding_id) OVER (PARTITION BY ws) AS class_id, ws FROM k),
+w AS MATERIALIZED (SELECT class_id, unnest(string_split(ws, ' ')) AS w FROM c WHERE finding_id = class_id AND ws <> ''),
+n AS (SELECT class_id, count(*) AS n FROM w GROUP BY class_id),
+p AS MATERIALIZED (SELECT a, b FROM (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k FROM w a JOIN w b ON a.w = b.w AND a.class_id <> b.class_id GROUP BY ALL) JOIN n x ON x.class_id = a JOIN n y ON y.class_id = b WHERE k >= 0.75 * (x.n + y.n - k)),
+g AS (SELECT a AS class_id, a AS m FROM p UNION SELECT g.class_id, p.b FROM g JOIN p ON p.a = g.m)
+SELECT finding_id, class_id, coalesce(links, 0) AS links, coalesce(group_id, class_id) AS group_id FROM c
+LEFT JOIN (SELECT a AS class_id, count(*) AS links FROM p GROUP BY a) USING (class_id) LEFT JOIN (SELECT class_id, min(m) AS group_id FROM g GROUP BY class_id) USING (class_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _WORDS,
+        "p3_classes": _CLASSES,
         "p6_found": _TERMS + "SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
         "p6_counts": _TERMS + "SELECT field, term, occurrences, records, mark FROM marked",
         "p5_found": _ITEMS + "SELECT DISTINCT item_kind, item_id FROM i WHERE length(text) > max_chars",
