@@ -3,26 +3,30 @@
 Two word sets with Jaccard similarity t or more differ in at most H = (1-t)/(1+t) * (|x|+|y|) words, the Hamming distance of
 their word vectors. Three steps, none of which loses a pair:
 
-1. First box. The words are in one order, the rarest first, and a word in more than HOT records is frequent. Similar sets
+1. First box. The words are in one order, the rarest first, and a word in more than so many records is frequent. Similar sets
    that share a rare word have the first such word within the first |x| - ceil(t|x|) + 1 of each, so these words are keys.
    Sets that share none have spent both sides' rare words of the budget H. What is left, the words of x that y may lack and
    those of y that x may lack, is below zero for most records and sizes of partner, and a few words for the others. Their
    frequent words are dealt into so many boxes and one more: in one box at least the sets agree in full, so each box is a
    key. Where that would join too many, k boxes more are dealt and k together make a key. Both sides take the boxes of each
    cell (size class and budget level of the one, of the other) in which the whole table has records on the other side.
+   Words are in more records as the table grows; were the limit of frequency fixed, few words would stay rare and a set
+   would need thousands of boxes. A sample tells at which limit the keys and the meetings cost least; none loses a pair.
 2. Ring. The word vector is folded into SEGMENTS segments of parity bits. If the segments together differ in at most H
    bits, there is a segment from which on every chain of l consecutive segments differs in at most l * H / SEGMENTS bits.
    Candidates without such a start are pruned, chain by chain.
 3. The full check counts the shared words of what is left.
 
 Equal word sets are one class before that, so copies never meet each other in the join. Keys travel packed, one row for
-each input batch and bucket, and meet inside a bucket by sorting; the number of buckets follows the number of records.
+each slice of records and bucket, and meet inside a bucket by sorting. What a task holds is bounded by words, keys and pairs,
+not by records: slices end after so many words or keys, the number of buckets follows the number of keys, which the budgets
+tell beforehand, and a bucket's pairs leave it in parts.
 """
 from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,14 +39,22 @@ from ..session import Scratch
 
 #: Bins of the word counts, one byte each: 32 for each record, at least and at most so many bits of them (64 MB at the most).
 LEAST_BITS, MOST_BITS = 18, 26
-#: A word in more records than this is no key by itself.
+#: A word in more records than this is no key by itself: one of these limits, as a sample of the records tells.
+HOTS = (128, 512, 2048, 8192, 32768)
+#: Records that may be expected to agree in a key of boxes.
 HOT = 128
+#: Records in that sample, their characters at most, and how many meetings a key costs.
+SAMPLE, SAMPLE_CHARS, KEY_COST = 1000, 20_000, 20
 #: Keys of one record for one cell at most, where more boxes to a key would not pay.
 MOST_KEYS = 256
 #: Segments of the ring, of 16 parity bits each.
 SEGMENTS = 8
-#: Records in one join partition; the number of partitions follows the number of records.
-RECORDS_A_BUCKET = 25_000
+#: Keys in one join partition; the number of partitions follows the number of keys.
+KEYS_A_BUCKET = 500_000
+#: Words, and keys, that are worked on at a time; a record with more of them is worked on alone.
+WORDS_A_SLICE, KEYS_A_SLICE = 1 << 19, 1 << 18
+#: Meetings that are tested at a time, and pairs that a task gathers before they leave it.
+MEETINGS_A_STEP, PAIRS_A_PART = 1 << 17, 1 << 18
 #: Sizes of one class differ by less than this factor.
 CLASS = 1.06
 #: Records of a class that may share their members' pairs in one task.
@@ -122,51 +134,65 @@ def level(budget: np.ndarray) -> np.ndarray:
     return np.where(budget <= 4, budget, -(-budget // half) * half)
 
 
-PACKED = "cids binary, sizes binary, rares binary, sketches binary, plain binary, owners binary, frequent binary, budgets array<struct<own:int,other:int,level:int,n:int>>"
+FEATURES = "cid bigint, size int, rare int, sketch binary, plain binary, frequent binary, budgets array<struct<own:int,other:int,level:int,n:int>>"
+
+
+def slices(weight: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Start and end of successive slices of records, each of `most` weight at most or one record."""
+    total, a = np.r_[0, np.cumsum(weight)], 0
+    while a < len(weight):
+        z = max(a + 1, int(np.searchsorted(total, total[a] + most, "right")) - 1)
+        yield a, z
+        a = z
+
+
+def _binaries(numbers: np.ndarray, many: np.ndarray) -> pa.Array:
+    """One binary for each record, of the next many[r] numbers."""
+    ends = np.r_[0, np.cumsum(many * numbers.itemsize)].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(numbers.tobytes())])
 
 
 def _features(bins: np.ndarray, t: float, hot: int):
-    """A function for mapInArrow: (cid, ws) batches to one packed row each."""
+    """A function for mapInArrow: (cid, ws) batches to a row for each record; the first row of a slice has the budgets of all."""
     warm, single = int(_scaled(hot)), int(_scaled(1))
 
+    def features(b: pa.RecordBatch) -> pa.RecordBatch:
+        lists = b.column("ws")
+        size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        flat = lists.flatten().to_numpy().view(np.uint64)
+        c = bins[_bin(flat, bins)]
+        flat = _mix(flat)
+        rec = np.repeat(np.arange(len(size)), size)
+        place = _mix(flat + np.uint64(1))
+        segment = rec * SEGMENTS + (place >> np.uint64(61)).astype(np.int64)
+        sketch = np.zeros((len(size) * SEGMENTS, 16), np.uint8)
+        np.add.at(sketch.reshape(-1), segment * 16 + ((place >> np.uint64(40)) & np.uint64(15)).astype(np.int64), 1)
+        sketch = np.packbits(sketch & 1, axis=1).view(np.uint16).reshape(-1)
+        # the rarest words first: record, count and the word's leading bits in one number
+        order = np.argsort((rec.astype(np.uint64) << np.uint64(40)) | (c.astype(np.uint64) << np.uint64(32)) | (flat >> np.uint64(32)), kind="stable")
+        f, c = flat[order], c[order]
+        start = np.r_[0, np.cumsum(size)[:-1]]
+        pos = np.arange(len(f)) - start[rec]
+        p = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+        is_rare = c <= warm
+        rare = np.bincount(rec[is_rare], minlength=len(size))
+        plain = is_rare & (pos < p[rec]) & (c > single)  # a word of one record only meets nothing
+        cell, count = np.unique(np.stack(partners(size, rare, t)[1:], 1), axis=0, return_counts=True)
+        budgets = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (*cell.T, count)], ["own", "other", "level", "n"])
+        columns = [
+            b.column("cid").cast(pa.int64()), pa.array(size, pa.int32()), pa.array(rare, pa.int32()), _binaries(sketch, np.full(len(size), SEGMENTS)),
+            _binaries(f[plain], np.bincount(rec[plain], minlength=len(size))), _binaries(f[~is_rare], size - rare), pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(len(size), len(count))], pa.int32()), budgets),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names="cid size rare sketch plain frequent budgets".split())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column("ws")
-            size = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-            flat = lists.flatten().to_numpy().view(np.uint64)
-            c = bins[_bin(flat, bins)]
-            flat = _mix(flat)
-            rec = np.repeat(np.arange(len(size)), size)
-            place = _mix(flat + np.uint64(1))
-            segment = rec * SEGMENTS + (place >> np.uint64(61)).astype(np.int64)
-            sketch = np.zeros((len(size) * SEGMENTS, 16), np.uint8)
-            np.add.at(sketch.reshape(-1), segment * 16 + ((place >> np.uint64(40)) & np.uint64(15)).astype(np.int64), 1)
-            sketch = np.packbits(sketch & 1, axis=1).view(np.uint16).reshape(-1)
-            # the rarest words first: record, count and the word's leading bits in one number
-            order = np.argsort((rec.astype(np.uint64) << np.uint64(40)) | (c.astype(np.uint64) << np.uint64(32)) | (flat >> np.uint64(32)), kind="stable")
-            f, c = flat[order], c[order]
-            start = np.r_[0, np.cumsum(size)[:-1]]
-            pos = np.arange(len(f)) - start[rec]
-            p = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
-            is_rare = c <= warm
-            rare = np.bincount(rec[is_rare], minlength=len(size))
-            plain = is_rare & (pos < p[rec]) & (c > single)  # a word of one record only meets nothing
-            cell, count = np.unique(np.stack(partners(size, rare, t)[1:], 1), axis=0, return_counts=True)
-            row = {
-                "cids": b.column("cid").to_numpy().astype(np.int64).tobytes(), "sizes": size.astype(np.int32).tobytes(), "rares": rare.astype(np.int32).tobytes(), "sketches": sketch.tobytes(),
-                "plain": f[plain].tobytes(), "owners": rec[plain].astype(np.int32).tobytes(), "frequent": f[~is_rare].tobytes(),
-                "budgets": [{"own": x, "other": y, "level": l, "n": k} for (x, y, l), k in zip(cell.tolist(), count.tolist())],
-            }
-            yield pa.RecordBatch.from_pylist([row], _PACKED)
+            for x, z in slices(np.diff(b.column("ws").offsets.to_numpy()), WORDS_A_SLICE):
+                yield features(b.slice(x, z - x))
 
     return run
 
 
-_PACKED = pa.schema([*((k, pa.binary()) for k in "cids sizes rares sketches plain owners frequent".split()), ("budgets", pa.list_(pa.struct([("own", pa.int32()), ("other", pa.int32()), ("level", pa.int32()), ("n", pa.int32())])))])
-
-
 def boxes(word: np.ndarray, many: np.ndarray, rec: np.ndarray, m: int) -> np.ndarray:
     """For each of the records `rec` its words in m boxes, each box as one number; record r has the next many[r] of `word`."""
     start = (np.cumsum(many) - many)[rec]
@@ -201,49 +227,98 @@ def _seed(*numbers: int) -> int:
     return out
 
 
-def _keys(crowds: dict[tuple[int, int, int], int], t: float, n_buckets: int, hot: int):
-    """A function for mapInPandas: packed rows to rows of packed keys, one for each bucket."""
+def choose_hot(counts: list[np.ndarray], t: float, n: int) -> int:
+    """The limit of word frequency at which keys and meetings cost least. counts: the scaled counts of the words of some of the n records."""
+    if not counts:
+        return HOT
+    size = np.array([len(c) for c in counts])
+    c, rec = np.concatenate([np.sort(c) for c in counts]), np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(c)) - (np.cumsum(size) - size)[rec]
+    first = pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[rec]
+    costs = []
+    for hot in HOTS:
+        is_rare = c <= _scaled(hot)
+        plain = c[is_rare & first & (c > _scaled(1))]
+        cell, many = np.unique(np.stack(partners(size, np.bincount(rec[is_rare], minlength=len(size)), t)[1:], 1), axis=0, return_counts=True)
+        ways = dealing({tuple(x): math.ceil(k * n / len(size)) for x, k in zip(cell.tolist(), many.tolist())}, t, HOT)
+        keys = len(plain) + sum(k * keys_of_a_record(ways(*x)) for x, k in zip(cell.tolist(), many.tolist()))
+        costs.append(KEY_COST * keys + float((2 ** (plain / 8) - 1).sum()) / 2)
+    return HOTS[int(np.argmin(costs))]
+
+
+def dealing(crowds: dict[tuple[int, int, int], int], t: float, hot: int) -> Callable[[int, int, int], list[tuple[int, int, int]]]:
+    """A function that tells how the records of a cell (own class, partner's class, budget level) deal their words: boxes, boxes to a key and seed, once for each level at which the other class has records."""
     facing: dict[tuple[int, int], dict[int, int]] = {}
     for (own, other, lv), c in crowds.items():
         facing.setdefault((own, other), {})[lv] = c
+    known: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+
+    def ways(x: int, y: int, mine: int) -> list[tuple[int, int, int]]:
+        if (x, y, mine) not in known:
+            out = known[x, y, mine] = []
+            for theirs, n in facing.get((y, x), {}).items():
+                spent = mine + theirs
+                side = [(x, mine), (y, theirs)] if (x, mine) <= (y, theirs) else [(y, theirs), (x, mine)]
+                k = together(min(n, facing[x, y][mine]), int(_overlap(_low(np.int64(x)), _low(np.int64(y)), t)), spent, hot)
+                out.append((spent + k, k, _seed(*side[0], *side[1])))
+        return known[x, y, mine]
+
+    return ways
+
+
+def keys_of_a_record(ways: list[tuple[int, int, int]]) -> int:
+    return sum(math.comb(m, k) for m, k, _ in ways)
+
+
+def _keys(crowds: dict[tuple[int, int, int], int], t: float, n_buckets: int, hot: int, most: float = math.inf):
+    """A function for mapInPandas: features to rows of packed keys, one for each bucket and slice of records of at most `most` keys together."""
+
+    def packed(b: pd.DataFrame, rec: np.ndarray, cell: np.ndarray, ways: Callable[[int, int, int], list[tuple[int, int, int]]]) -> pd.DataFrame:
+        """b: one slice; rec, cell: its records' cells, sorted by cell."""
+        size, rare = b["size"].to_numpy().astype(np.int64), b["rare"].to_numpy().astype(np.int64)
+        word, many = np.frombuffer(b"".join(b["frequent"]), np.uint64), size - rare
+        keys, owners, made = [np.frombuffer(b"".join(b["plain"]), np.uint64)], [np.repeat(np.arange(len(b), dtype=np.int32), b["plain"].map(len) // 8)], {}
+        cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)]) if len(cell) else []
+        for a, z in zip(cuts, [*cuts[1:], len(cell)]):
+            for m, k, seed in ways(*map(int, cell[a])):
+                made.setdefault((m, k), []).append((rec[a:z], seed))
+        for (m, k), wanted in made.items():
+            who, seed = np.concatenate([w for w, _ in wanted]), np.repeat(np.array([x for _, x in wanted], np.uint64), [len(w) for w, _ in wanted])
+            once, again = np.unique(who, return_inverse=True)
+            box = boxes(word, many, once, m)[again]
+            some = np.array(list(itertools.combinations(range(m), k)))
+            acc = np.broadcast_to(seed[:, None], (len(who), len(some)))
+            for i in range(k):
+                acc = _mix(acc + box[:, some[:, i]] + some[:, i].astype(np.uint64))
+            keys.append(acc.reshape(-1))
+            owners.append(np.repeat(who, len(some)).astype(np.int32))
+        key, holder = np.concatenate(keys), np.concatenate(owners)
+        bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+        place = bucket * len(b) + holder  # one number for each bucket and record
+        order = np.argsort(place, kind="stable")
+        key, place = key[order].astype(np.uint32), place[order]
+        new = np.r_[True, place[1:] != place[:-1]] if len(place) else np.empty(0, bool)
+        bucket, who = np.divmod(place[new], len(b))  # the records of each bucket
+        x, start, many_records = np.unique(bucket, return_index=True, return_counts=True)
+        nth = np.cumsum(new) - 1
+        many_keys = np.bincount(np.repeat(np.arange(len(x)), many_records)[nth], minlength=len(x)).astype(np.int64)
+        local = (nth - np.repeat(start, many_keys)).astype(np.int32)
+        cid, sketch = b["cid"].to_numpy().astype(np.int64), np.frombuffer(b"".join(b["sketch"]), np.uint16).reshape(-1, SEGMENTS)
+        columns = {"keys": (key, many_keys), "owners": (local, many_keys), "cids": (cid[who], many_records), "sketches": (sketch[who].reshape(-1), many_records * SEGMENTS), "sizes": (size[who].astype(np.int32), many_records)}
+        return pd.DataFrame({"bucket": x.astype(np.int32)} | {c: _binaries(numbers, n).to_pandas() for c, (numbers, n) in columns.items()})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ways = dealing(crowds, t, hot)
         for b in batches:
-            rows = []
-            for r in b.itertuples():
-                size, rare = np.frombuffer(r.sizes, np.int32).astype(np.int64), np.frombuffer(r.rares, np.int32).astype(np.int64)
-                word, many = np.frombuffer(r.frequent, np.uint64), size - rare
-                rec, own, other, lv = partners(size, rare, t)
-                keys, owners, made = [np.frombuffer(r.plain, np.uint64)], [np.frombuffer(r.owners, np.int32)], {}
-                order = np.lexsort((lv, other, own))
-                rec, cell = rec[order], np.stack([own, other, lv], 1)[order]
-                cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)]) if len(cell) else []
-                for a, z in zip(cuts, [*cuts[1:], len(cell)]):
-                    x, y, mine = map(int, cell[a])
-                    for theirs, n in facing.get((y, x), {}).items():  # only levels at which the other class has records
-                        spent = mine + theirs
-                        side = [(x, mine), (y, theirs)] if (x, mine) <= (y, theirs) else [(y, theirs), (x, mine)]
-                        k = together(min(n, facing[x, y][mine]), int(_overlap(_low(np.int64(x)), _low(np.int64(y)), t)), spent, hot)
-                        made.setdefault((spent + k, k), []).append((rec[a:z], _seed(*side[0], *side[1])))
-                for (m, k), wanted in made.items():
-                    who, seed = np.concatenate([w for w, _ in wanted]), np.repeat(np.array([x for _, x in wanted], np.uint64), [len(w) for w, _ in wanted])
-                    once, again = np.unique(who, return_inverse=True)
-                    box = boxes(word, many, once, m)[again]
-                    some = np.array(list(itertools.combinations(range(m), k)))
-                    acc = np.broadcast_to(seed[:, None], (len(who), len(some)))
-                    for i in range(k):
-                        acc = _mix(acc + box[:, some[:, i]] + some[:, i].astype(np.uint64))
-                    keys.append(acc.reshape(-1))
-                    owners.append(np.repeat(who, len(some)).astype(np.int32))
-                key, holder = np.concatenate(keys), np.concatenate(owners)
-                bucket = ((key >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                key, holder, bucket = key[order].astype(np.uint32), holder[order].astype(np.int32), bucket[order]
-                cid, sketch = np.frombuffer(r.cids, np.int64), np.frombuffer(r.sketches, np.uint16).reshape(-1, SEGMENTS)
-                for x, a, z in zip(*_runs(bucket)):
-                    who, local = np.unique(holder[a:z], return_inverse=True)
-                    rows.append((int(x), key[a:z].tobytes(), local.astype(np.int32).tobytes(), cid[who].tobytes(), sketch[who].tobytes(), size[who].astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["bucket", "keys", "owners", "cids", "sketches", "sizes"])
+            rec, own, other, lv = partners(b["size"].to_numpy().astype(np.int64), b["rare"].to_numpy().astype(np.int64), t)
+            order = np.lexsort((lv, other, own))
+            rec, cell = rec[order], np.stack([own, other, lv], 1)[order]
+            cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]).any(axis=1)]) if len(cell) else np.empty(0, np.int64)
+            each = np.repeat([keys_of_a_record(ways(*map(int, cell[a]))) for a in cuts], np.diff(np.r_[cuts, len(cell)]))
+            weight = b["plain"].map(len).to_numpy() // 8 + np.bincount(rec, each, len(b)).astype(np.int64)
+            for a, z in slices(weight, most):
+                mine = (rec >= a) & (rec < z)
+                yield packed(b.iloc[a:z], rec[mine] - a, cell[mine], ways)
 
     return run
 
@@ -273,45 +348,62 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return x[at].tolist(), at.tolist(), np.r_[at[1:], len(x)].astype(int).tolist() if len(x) else []
 
 
-def _meet(t: float):
-    """A function for applyInPandas: the packed keys of one bucket to candidate pairs that pass the chain filter."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([np.frombuffer(x, np.uint32) for x in b["keys"]])
-        cids = [np.frombuffer(x, np.int64) for x in b["cids"]]
-        offset = np.r_[0, np.cumsum([len(x) for x in cids])]
-        own = np.concatenate([np.frombuffer(x, np.int32) + o for x, o in zip(b["owners"], offset)])
-        cid = np.concatenate(cids)
-        sketch = np.concatenate([np.frombuffer(x, np.uint16).reshape(-1, SEGMENTS) for x in b["sketches"]])
-        size = np.concatenate([np.frombuffer(x, np.int32) for x in b["sizes"]])
-        order = np.argsort(key, kind="stable")
-        key, own = key[order], own[order]
-        found = [np.empty((0, 2), np.int64)]
-        step, live = 1, np.arange(len(key) - 1)
-        while len(live):  # neighbours at distance 1, 2, ... within runs of equal keys; a run of n ends after n - 1 steps
-            live = live[live + step < len(key)]
-            live = live[key[live] == key[live + step]]
-            x, y = own[live], own[live + step]
+def meet(key: np.ndarray, own: np.ndarray, cid: np.ndarray, sketch: np.ndarray, size: np.ndarray, t: float) -> Iterator[np.ndarray]:
+    """Candidate pairs of cids that share a key and pass the chain filter, in parts; a pair may be in several of them."""
+    order = np.argsort(key, kind="stable")
+    key, own = key[order], own[order]
+    found, held = [], 0
+    step, live = 1, np.flatnonzero(key[1:] == key[:-1])
+    while len(live):  # neighbours at distance 1, 2, ... within runs of equal keys; a run of n ends after n - 1 steps
+        for at in range(0, len(live), MEETINGS_A_STEP):
+            some = live[at : at + MEETINGS_A_STEP]
+            x, y = own[some], own[some + step]
             fit = np.minimum(size[x], size[y]) >= t * np.maximum(size[x], size[y]) - 1e-9
             x, y = x[fit], y[fit]
             near = chained(sketch[x], sketch[y], (1 - t) / (1 + t) * (size[x] + size[y]) + 1e-9)
             p = np.stack([np.minimum(cid[x], cid[y])[near], np.maximum(cid[x], cid[y])[near]], 1)
             found.append(p[p[:, 0] != p[:, 1]])
-            if len(found) > 64:
+            held += len(found[-1])
+            if held > PAIRS_A_PART or len(found) > 64:
                 found = [np.unique(np.concatenate(found), axis=0)]
-            step += 1
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                held = len(found[0])
+                if held > PAIRS_A_PART // 2:
+                    yield found.pop()
+                    held = 0
+        step += 1
+        live = live[live + step < len(key)]
+        live = live[key[live] == key[live + step]]
+    if held:
+        yield np.unique(np.concatenate(found), axis=0)
+
+
+def _meet(t: float):
+    """A function for applyInPandas: the packed keys of one bucket to candidate pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, own, cid, sketch, size, n = [], [], [], [], [], 0
+        for b in batches:
+            for r in b.itertuples():
+                key.append(np.frombuffer(r.keys, np.uint32))
+                own.append(np.frombuffer(r.owners, np.int32) + np.int32(n))
+                cid.append(np.frombuffer(r.cids, np.int64))
+                sketch.append(np.frombuffer(r.sketches, np.uint16).reshape(-1, SEGMENTS))
+                size.append(np.frombuffer(r.sizes, np.int32))
+                n += len(cid[-1])
+        key, own, cid, sketch, size = (np.concatenate(x) for x in (key, own, cid, sketch, size))
+        for pairs in meet(key, own, cid, sketch, size, t):
+            yield pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
-def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[str], t: float = 0.75, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[str], t: float = 0.75, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members(class_id, id) puts each record into the class of its word set, named by its least id;
     pairs(class_a, class_b, shared, size_a, size_b) has each pair of classes of similarity t or more, smaller id first.
 
     `key` is a bigint; rows of one key are one record. Null columns count as empty. Records without any word form one
-    class that pairs with nothing (their similarity to each other is undefined, not 1). All found pairs are exact.
+    class that pairs with nothing (their similarity to each other is undefined, not 1). All found pairs are exact, whatever
+    limit of word frequency `hot` sets; without it a sample tells the cheapest.
     """
     if not 0.5 <= t < 1:
         raise ValueError("t must be in [0.5, 1)")
@@ -327,10 +419,17 @@ def near_pairs(spark: SparkSession, records: DataFrame, key: str, columns: list[
     number = lambda d: d.select("cid", F.transform(F.split("text", " "), lambda x: F.xxhash64(x)).alias("ws"))
     n = sets.count()
     bins = word_bins(number(sets), n)
-    features = tmp.write(number(sets).mapInArrow(_features(bins, t, hot), PACKED))
+    crowd = HOT if hot is None else hot
+    if hot is None:
+        some = sets.where((F.length("text") <= SAMPLE_CHARS) & (F.pmod(F.xxhash64("cid"), F.lit(max(1, n // SAMPLE))) == 0))
+        hot = choose_hot([bins[_bin(np.array(r.ws, np.int64).view(np.uint64), bins)] for r in number(some).collect()], t, n)
+    features = tmp.write(number(sets).mapInArrow(_features(bins, t, hot), FEATURES))
     crowds = features.select(F.explode("budgets").alias("x")).groupBy("x.own", "x.other", "x.level").agg(F.sum("x.n").alias("n")).collect()  # a row for each pair of size classes
-    n_buckets = max(16, math.ceil(n / RECORDS_A_BUCKET))
-    keys = _keys({(r.own, r.other, r.level): r.n for r in crowds}, t, n_buckets, hot)
+    crowds = {(r.own, r.other, r.level): r.n for r in crowds}
+    ways = dealing(crowds, t, crowd)
+    n_keys = (features.agg(F.sum(F.length("plain"))).first()[0] or 0) // 8 + sum(c * keys_of_a_record(ways(*cell)) for cell, c in crowds.items())
+    n_buckets = max(16, math.ceil(n_keys / KEYS_A_BUCKET))
+    keys = _keys(crowds, t, n_buckets, crowd, KEYS_A_SLICE)
     packed = features.drop("budgets").mapInPandas(keys, "bucket int, keys binary, owners binary, cids binary, sketches binary, sizes binary")
     candidates = tmp.write(packed.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_meet(t), "a bigint, b bigint").distinct())
     tmp.drop(features)
